@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from idsync.llm.bpe import encode
+from idsync.llm.bpe import encode, token_counts
 from idsync.llm.components import link_groups
+from idsync.llm.lookalikes import Canonical, same_looks
 from idsync.llm.nearest import NearestTimeJoin, Side
+from idsync.llm.packing import fill_containers
+from idsync.llm.survivors import survivors
+from idsync.llm.variants import CLUBS, PEOPLE, link_variants
+from idsync.operators.timestamps import day_month_order, normalise_timestamps
 
 HOUR = 3_600_000_000
 TEAMS = ("home_team_id", "away_team_id")
@@ -16,6 +22,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Canonical]:
+    """Player and team records, and the canonical form fitted on all their names."""
+    players, teams = _read(spark, sf_dir, "player_records"), _read(spark, sf_dir, "team_records")
+    return players, teams, Canonical.fit(spark, [(players, "player_name"), (teams, "team_name")])
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fixture_id, feed_id): the reading nearest to each fixture, at most 6 hours away; readings may come 10 days late."""
     fixtures = Side(f"{sf_dir}/fixture_list.parquet", "fixture_id", "match_date", None, TEAMS)
@@ -28,9 +40,50 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_groups(_read(spark, sf_dir, "id_links"), "object_type", ("left_provider", "left_object_id"), ("right_provider", "right_object_id"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_type, id_1, id_2): records of one person or team under names that look different."""
+    players, teams, canonical = _named(spark, sf_dir)
+    orders = day_month_order([(players, "birth_date")], "data_provider")
+    players = normalise_timestamps(players, "birth_date", orders=orders, source="data_provider", out="birth")
+    players = players.withColumns({"form": canonical.form("player_name"), "nick": canonical.form("player_nickname")})
+    people = link_variants(
+        players, key="record_id", blocks=["match_id", "team_id"], source="data_provider", source_id="provider_player_id", form="form", nickname="nick",
+        evidence=["birth", "jersey_number"], weights=PEOPLE,
+    )
+    clubs = link_variants(
+        teams.withColumn("form", canonical.form("team_name")), key="record_id", blocks=["competition_id", "season_id", "team_gender", "team_age_group"], source="data_provider",
+        source_id="provider_team_id", form="form", nickname=None, evidence=["ussf_country_id", "team_confederation"], weights=CLUBS,
+    )
+    return people.select(F.lit("player").alias("record_type"), "*").unionByName(clubs.select(F.lit("team").alias("record_type"), "*"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(person_id, field_name, version_id): the surviving row of each person's field by trust, then recency, then id."""
+    return p3_survivors(spark, sf_dir).select("person_id", "field_name", "version_id")
+
+
+def p3_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p3_found, with the posterior of the surviving value and the number of values judged true."""
+    best = survivors(_read(spark, sf_dir, "squad_versions"), _read(spark, sf_dir, "provider_ranks"))
+    return best.withColumn("posterior", F.round("posterior", 6))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_type, id_1, id_2): records of a block whose names look the same and differ as stored."""
+    players, teams, canonical = _named(spark, sf_dir)
+    people = same_looks(players, "record_id", ["match_id"], "player_name", canonical)
+    clubs = same_looks(teams, "record_id", ["competition_id", "season_id"], "team_name", canonical)
+    return people.select(F.lit("player").alias("record_type"), "*").unionByName(clubs.select(F.lit("team").alias("record_type"), "*"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ids): the token ids of every text by byte_bpe_50k."""
     return encode(_read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p8_ids": p8_ids}
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, piece_no, container_id, tokens): every text in containers of 4096 tokens."""
+    return fill_containers(token_counts(_read(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "tokens", 4096)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_survivors, p4_found, p5_found, p8_ids, p9_containers)}
