@@ -88,7 +88,8 @@ def _name_keys(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         seen = {}
         for x in s.dropna().unique():
             t = tokens_of(x)
-            seen[x] = (" ".join(sorted(t)) or None, sorted({sound(w) for w in t if len(w) > 1}), t)
+            whole = {sound("".join(t)), sound("".join(reversed(t)))} if t else set()  # blanks inside a name come and go
+            seen[x] = (" ".join(sorted(t)) or None, sorted({sound(w) for w in t if len(w) > 1} | whole), t)
         yield pd.DataFrame([seen.get(x, (None, [], [])) for x in s], columns=["full", "sounds", "tokens"])
 
 

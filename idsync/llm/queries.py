@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idsync.llm.bpe import encode, token_counts
+from idsync.llm.cascade import RULES, keyed, match_cascade, rule_precision
 from idsync.llm.components import link_groups
 from idsync.llm.lookalikes import Canonical, same_looks
 from idsync.llm.nearest import NearestTimeJoin, Side
 from idsync.llm.packing import fill_containers
-from idsync.llm.survivors import survivors
+from idsync.llm.repetition import banded, repetitive
+from idsync.llm.survivors import survivors, usable_date, usable_name
 from idsync.llm.variants import CLUBS, PEOPLE, link_variants
 from idsync.operators.timestamps import day_month_order, normalise_timestamps
+from idsync.runtime import cut
 
 HOUR = 3_600_000_000
 TEAMS = ("home_team_id", "away_team_id")
@@ -76,6 +79,23 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.select(F.lit("player").alias("record_type"), "*").unionByName(clubs.select(F.lit("team").alias("record_type"), "*"))
 
 
+def p7_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(reg_id, scout_id, rule, confidence): each report with the registry row of its player, if any."""
+    registry, reports, labelled = (_read(spark, sf_dir, t) for t in ("player_registry", "scout_reports", "squad_versions"))
+    canonical = Canonical.fit(spark, [(registry, "player_name"), (reports, "player_name"), (registry, "team_name"), (reports, "team_name")])
+    keys = lambda df, key, team: keyed(df, key, canonical.form("player_name"), F.col("birth_date"), F.col("jersey_number"), team)
+    sides = [keys(df, key, canonical.form("team_name")) for df, key in ((registry, "reg_id"), (reports, "scout_id"))]
+    labelled = labelled.filter(F.col("person_id").isNotNull() & usable_name(F.col("player_name"))).withColumn("birth_date", F.when(usable_date(F.col("birth_date")), F.col("birth_date")))
+    tied = keys(labelled, "version_id", F.col("team_id")).join(labelled.select(F.col("version_id").alias("id"), "person_id", (F.col("data_provider") == "provider_a").alias("first")), "id")
+    found = match_cascade(*sides, rule_precision(cut(tied), "person_id", RULES))
+    return found.select(F.col("l").alias("reg_id"), F.col("r").alias("scout_id"), "rule", F.round("confidence", 6).alias("confidence"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(reg_id, scout_id): registry rows and reports on the same person."""
+    return p7_matches(spark, sf_dir).select("reg_id", "scout_id")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ids): the token ids of every text by byte_bpe_50k."""
     return encode(_read(spark, sf_dir, "documents"), "doc_id", "text")
@@ -86,4 +106,14 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_containers(token_counts(_read(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "tokens", 4096)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_survivors, p4_found, p5_found, p8_ids, p9_containers)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id): documents with at least a third of their letters in repeated passages."""
+    return repetitive(_read(spark, sf_dir, "documents"), "doc_id", "text", "lang").select("doc_id")
+
+
+def p10_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, perplexity, band) of every document with words."""
+    return banded(_read(spark, sf_dir, "documents"), "doc_id", "text", "lang").withColumn("perplexity", F.round("perplexity", 6))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_survivors, p4_found, p5_found, p7_found, p7_matches, p8_ids, p9_containers, p10_found, p10_perplexity)}
