@@ -59,7 +59,7 @@ def compatible(text: str) -> str:
     return unicodedata.normalize("NFC", "".join(kept)).strip(" ")
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def script(letter: str) -> str:
     name = unicodedata.name(letter, "?")
     return name.split(" ", 1)[0]
@@ -100,7 +100,7 @@ class Lattice:
         def best(m: re.Match) -> str:
             w = m.group()
             if (found := self.words.get(w)) is None:
-                if len(self.words) > 300_000:
+                if len(self.words) > 50_000:
                     self.words.clear()
                 found = self.words[w] = self.word(w)
             return found

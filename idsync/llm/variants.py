@@ -99,7 +99,7 @@ def edits(a: str, b: str, most: int) -> int:
     return last[-1]
 
 
-@lru_cache(maxsize=400_000)
+@lru_cache(maxsize=60_000)
 def token_similarity(a: str, b: str, club: bool) -> float:
     """How well one token stands for the other, 0 to 1."""
     if a == b:
@@ -249,7 +249,7 @@ def score_pairs(pairs: DataFrame, units: DataFrame, weights: Weights) -> DataFra
 
 
 def link_variants(
-    records: DataFrame, *, key: str, blocks: list[str], source: str, source_id: str, form: str, nickname: str | None, evidence: list[str], weights: Weights, q: int = 3, overlap: float = 0.25
+    records: DataFrame, *, key: str, blocks: list[str], source: str, source_id: str, form: str, nickname: str | None, evidence: list[str], weights: Weights, q: int = 3, overlap: float = 0.4
 ) -> DataFrame:
     """(id_1, id_2): records of one block that name the same thing in forms that look different.
 
