@@ -33,6 +33,11 @@ CLUB_ENDINGS = ("SC", "Sc", "sc", "FC", "fc", "Fc", "LFC", "CF", "CD", "WFC", "F
 CLUB_STARTS = ("SC", "FC", "CF", "CD", "RC", "OL", "Olympique de", "Olympique", "WNT", "SKN", "SK", "1.")
 
 
+# All blanks, as a character class that Java and RE2 read alike; what isn't part of a word.
+BLANK = r"[\s\x1c-\x1f\x{85}\p{Z}]"
+NO_WORD = r"[^\p{L}\p{N}]+"
+
+
 @lru_cache(maxsize=1)
 def _tables() -> tuple[str, str, dict[str, str]]:
     """(letters, their ASCII letters, letters that become several), generated from the Unicode decompositions."""
@@ -52,7 +57,7 @@ def _tables() -> tuple[str, str, dict[str, str]]:
 
 def strip(c: Column) -> Column:
     """Trim all Unicode blanks at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+$", "")
 
 
 def clean_spaces(c: Column) -> Column:
@@ -85,11 +90,11 @@ def _romanise(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def non_word_chars(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)[\W_]+", " ")
+    return F.regexp_replace(c, NO_WORD, " ")
 
 
 def double_spaces(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+", " ")
+    return F.regexp_replace(c, rf"{BLANK}+", " ")
 
 
 def womens_suffixes(c: Column) -> Column:
@@ -129,7 +134,7 @@ def ngrams(c: Column, n: int = 3) -> Column:
     """All runs of ``n`` characters, with repeats, after blanks and , - . / ; are deleted; null gives an empty list."""
     if n <= 0:
         raise ValueError("n must be greater than 0")
-    text = F.regexp_replace(c, r"(?U)[,\-./;]|\s", "")
+    text = F.regexp_replace(c, rf"[,\-./;]|{BLANK}", "")
     made = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
     return F.when(F.length(text) >= n, made).otherwise(F.array().cast("array<string>"))
 

@@ -79,7 +79,7 @@ class SyncEngine:
             return self.content[0]
         ids = [c.id_field for c in self.content]
         first = self.synchronize_all_combinations()
-        keep = [*self.block, *self.join_columns, POS, *ids]
+        keep = list(dict.fromkeys([*self.block, *self.join_columns, POS, *ids]))
         rank = lambda df, layer, k: self._with_all(df, keep).withColumn("_ord", F.struct(F.lit(layer).alias("layer"), F.lit(k).alias("rank"), F.col(POS).alias("pos")))
         rows = cut(rank(first.data, 1, 0))
         if len(self.content) > 1:
@@ -169,7 +169,8 @@ class _KernelEngine(SyncEngine):
     def _prepared(self, c: Content, extra: dict) -> DataFrame:
         names = {n: F.col(n) if n in c.data.columns else F.lit(None).cast("string") for n in self.columns}
         cells = {**names, **{f"n_{t}": normalize(names[t]) for t in self.texts}, **{k: f(names) for k, f in extra.items()}}
-        return c.data.select(*(self.block or [F.lit(0).alias("_one")]), F.col(c.id_field).alias("id"), POS, *(v.alias(k) for k, v in cells.items())).dropna(subset=["id"])
+        blocks = [F.concat(F.col(k)).alias(k) for k in self.block] or [F.lit(0).alias("_one")]  # new columns on either side, as both may come from one table
+        return c.data.select(*blocks, F.col(c.id_field).alias("id"), POS, *(v.alias(k) for k, v in cells.items())).dropna(subset=["id"])
 
     def _kernel_pairs(self, a: Content, b: Content, run, extra: dict) -> DataFrame:
         """(block, id a, id b) from ``run(left, right)`` on each block's rows in order."""
@@ -222,7 +223,7 @@ class PlayerSyncEngine(_KernelEngine):
 
     def _keys(self) -> DataFrame:
         """A key column counts in a block if every provider there has it in every row."""
-        rows = reduce(lambda x, y: x.unionByName(y), [self._with_all(c.data, [*self.block, *self.join_columns]) for c in self.content])
+        rows = reduce(lambda x, y: x.unionByName(y), [self._with_all(c.data, list(dict.fromkeys([*self.block, *self.join_columns]))) for c in self.content])
         return rows.groupBy(*self.block).agg(*(F.bool_and(F.col(c).isNotNull()).alias(f"_use_{c}") for c in self.join_columns))
 
     def synchronize_pair(self, a: Content, b: Content) -> Content:
