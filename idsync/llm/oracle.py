@@ -1,5 +1,9 @@
 """DuckDB SQL of the llm queries that SQL can express."""
 
+from __future__ import annotations
+
+from idsync.llm.survivors import FILLERS, NARROW, WIDE
+
 P1_FOUND = """
 WITH pairs AS (
   SELECT f.fixture_id, r.feed_id, abs(epoch_us(f.match_date) - epoch_us(r.match_date)) AS d
@@ -27,4 +31,22 @@ walk AS (
 SELECT object_type, node_key, min(g) AS group_key FROM walk GROUP BY object_type, node_key
 """
 
-ORACLE = {"p1_found": P1_FOUND}
+_QUOTED = lambda s: "'" + s.replace("'", "''") + "'"
+_FILLERS = ", ".join(map(_QUOTED, FILLERS))
+_PLAIN = rf"trim(regexp_replace(regexp_replace(translate(player_name, {_QUOTED(WIDE)}, {_QUOTED(NARROW)}), '[\p{{Cf}}\p{{Cc}}]', '', 'g'), '[\s\p{{Z}}]+', ' ', 'g'))"
+
+P3_FOUND = rf"""
+WITH s AS (
+  SELECT *, regexp_replace(lower({_PLAIN}), '^[<(\[{{ ]+|[>)\]}} ]+$', '', 'g') AS t FROM squad_versions WHERE person_id IS NOT NULL),
+claims AS (
+  SELECT person_id, version_id, data_provider, updated_at, 'player_name' AS field_name,
+    coalesce(regexp_matches(t, '\p{{L}}') AND t NOT IN ({_FILLERS}) AND NOT regexp_matches(t, '^(player|test player|unknown player) ?#?[0-9]+$'), FALSE) AS usable FROM s
+  UNION ALL SELECT person_id, version_id, data_provider, updated_at, 'birth_date', coalesce(year(try_strptime(trim(birth_date), '%Y-%m-%d')) BETWEEN 1971 AND 2010, FALSE) FROM s
+  UNION ALL SELECT person_id, version_id, data_provider, updated_at, 'jersey_number', coalesce(regexp_full_match(trim(jersey_number), '0*[1-9][0-9]?'), FALSE) FROM s),
+many AS (SELECT person_id FROM squad_versions WHERE person_id IS NOT NULL GROUP BY person_id HAVING count(*) >= 2)
+SELECT person_id, field_name, version_id FROM (
+  SELECT c.*, row_number() OVER (PARTITION BY person_id, field_name ORDER BY r.trust_rank NULLS LAST, updated_at DESC NULLS LAST, version_id DESC) AS n
+  FROM claims c JOIN many USING (person_id) LEFT JOIN provider_ranks r USING (field_name, data_provider) WHERE usable) WHERE n = 1
+"""
+
+ORACLE = {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND}
