@@ -2,11 +2,12 @@
 
 Every record gets keys: name tokens (canonical form, no accents), sound keys of tokens, the birth
 date, dates that a slip of the pen makes of it, its year, the shirt number and a team key. A
-rule is a set of keys; its pass is one equi-join on them. Rules run from the strictest to
-the weakest; a right record that a rule resolves is anti-joined from all later passes. A
+rule is a set of keys. Rules of like strength form a pass, one equi-join on the keys of all of
+them; passes run from the strictest to the weakest, and a right record that one resolves is
+anti-joined from all later ones. A
 pair must also hold against the remaining attributes (soft token similarity of the names
 and agreement of the others), and where one right record meets several left ones, the best
-must lead clearly; else the record stays open for the next rule.
+must lead clearly; else the record stays open for the next pass.
 
 A rule's confidence is its precision on labelled records (pairs that the rule's keys
 join, same person or not), smoothed with one success and one failure.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -29,10 +31,12 @@ from pyspark.sql import types as T
 from idsync.llm.variants import CLUB_NOISE, name_similarity, sound, tokens_of
 from idsync.runtime import cut, ship
 
+LISTS = {"sounds", "slips", "town"}
+
 
 @dataclass(frozen=True)
 class Rule:
-    """Key columns of one pass; ``left`` differs where the left side spells variants out."""
+    """Key columns of one rule; ``left`` differs where the left side spells variants out."""
 
     name: str
     keys: tuple[str, ...]
@@ -40,27 +44,35 @@ class Rule:
     least: float = 0.55
 
 
-RULES = (
-    Rule("name birth", ("full", "born")),
-    Rule("name team shirt", ("full", "team", "shirt")),
-    Rule("name slipped birth", ("full", "born"), ("full", "slips")),
-    Rule("token birth team", ("sounds", "born", "team")),
-    Rule("token birth shirt", ("sounds", "born", "shirt")),
-    Rule("name team", ("full", "team")),
-    Rule("token slipped birth team", ("sounds", "born", "team"), ("sounds", "slips", "team")),
-    Rule("token slipped birth shirt", ("sounds", "born", "shirt"), ("sounds", "slips", "shirt")),
-    Rule("token team shirt", ("sounds", "team", "shirt")),
-    Rule("token year team", ("sounds", "year", "team")),
-    Rule("name year shirt", ("full", "year", "shirt")),
-    Rule("token birth", ("sounds", "born"), least=0.7),
-    Rule("birth team shirt", ("born", "team", "shirt"), least=0.6),
-    Rule("token year shirt", ("sounds", "year", "shirt"), least=0.7),
-    Rule("token slipped birth", ("sounds", "born"), ("sounds", "slips"), least=0.75),
-    Rule("token team word shirt", ("sounds", "town", "shirt"), least=0.7),
-    Rule("token birth team word", ("sounds", "slips", "town"), ("sounds", "slips", "town"), least=0.7),
-    Rule("token team", ("sounds", "team"), least=0.75),
-    Rule("name year", ("full", "year"), least=0.8),
-    Rule("name", ("full",), least=0.9),
+PASSES = (
+    (
+        Rule("name birth", ("full", "born")),
+        Rule("name team shirt", ("full", "team", "shirt")),
+        Rule("token birth team", ("sounds", "born", "team")),
+        Rule("token birth shirt", ("sounds", "born", "shirt")),
+    ),
+    (
+        Rule("name slipped birth", ("full", "born"), ("full", "slips")),
+        Rule("name team", ("full", "team")),
+        Rule("token slipped birth team", ("sounds", "born", "team"), ("sounds", "slips", "team")),
+        Rule("token slipped birth shirt", ("sounds", "born", "shirt"), ("sounds", "slips", "shirt")),
+        Rule("token team shirt", ("sounds", "team", "shirt")),
+        Rule("token year team", ("sounds", "year", "team")),
+        Rule("name year shirt", ("full", "year", "shirt")),
+    ),
+    (
+        Rule("token birth", ("sounds", "born"), least=0.7),
+        Rule("birth team shirt", ("born", "team", "shirt"), least=0.6),
+        Rule("token year shirt", ("sounds", "year", "shirt"), least=0.7),
+        Rule("token slipped birth", ("sounds", "born"), ("sounds", "slips"), least=0.75),
+        Rule("token town shirt", ("sounds", "town", "shirt"), least=0.7),
+        Rule("token birth town", ("sounds", "born", "town"), least=0.7),
+    ),
+    (
+        Rule("token team", ("sounds", "team"), least=0.75),
+        Rule("name year", ("full", "year"), least=0.8),
+        Rule("name", ("full",), least=0.9),
+    ),
 )
 
 
@@ -88,7 +100,8 @@ def _name_keys(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         seen = {}
         for x in s.dropna().unique():
             t = tokens_of(x)
-            whole = {sound("".join(t)), sound("".join(reversed(t)))} if t else set()  # blanks inside a name come and go
+            plain = all(map(str.isascii, t))  # in Kana and Hangul, blanks inside a name come and go
+            whole = set() if plain else {sound("".join(t)), sound("".join(reversed(t)))}
             seen[x] = (" ".join(sorted(t)) or None, sorted({sound(w) for w in t if len(w) > 1} | whole), t)
         yield pd.DataFrame([seen.get(x, (None, [], [])) for x in s], columns=["full", "sounds", "tokens"])
 
@@ -111,21 +124,30 @@ def keyed(df: DataFrame, key: str, name: Column, birth: Column, shirt: Column, t
     return base.select("id", "n.full", "n.sounds", "n.tokens", "born", _slips(F.col("born")).alias("slips"), year.alias("year"), F.when(F.col("shirt") != "", F.col("shirt")).alias("shirt"), "c.team", "c.town")
 
 
-LISTS = {"sounds", "slips", "town"}
+def _spelled(columns: tuple[str, ...], number: int) -> Column:
+    """All keys of one rule for a row, hashed with the rule's number; empty where an attribute is unknown."""
+
+    def build(rest: tuple[str, ...], done: list[Column]) -> Column:
+        if not rest:
+            return F.xxhash64(F.lit(number), *done)
+        if rest[0] in LISTS:
+            made = F.transform(rest[0], lambda x: build(rest[1:], [*done, x]))
+            return F.flatten(made) if LISTS & set(rest[1:]) else made
+        return build(rest[1:], [*done, F.col(rest[0])])
+
+    known = [F.col(c).isNotNull() for c in columns]
+    keys = build(columns, []) if LISTS & set(columns) else F.array(build(columns, []))
+    return F.when(reduce(lambda a, b: a & b, known), F.transform(keys, lambda k: F.struct(F.lit(number).alias("rule"), k.alias("key")))).otherwise(F.array().cast("array<struct<rule:int,key:bigint>>"))
 
 
-def _side(df: DataFrame, columns: tuple[str, ...], name: str) -> DataFrame:
-    out = df.select(F.col("id").alias(name), *(F.col(c).alias(f"k{i}") for i, c in enumerate(columns)))
-    for i, c in enumerate(columns):
-        if c in LISTS:
-            out = out.withColumn(f"k{i}", F.explode(f"k{i}"))
-    return out.dropna()
+def _key_rows(df: DataFrame, rules: tuple[Rule, ...], left: bool, name: str) -> DataFrame:
+    keys = [_spelled((r.left if left and r.left else r.keys), i) for i, r in enumerate(rules)]
+    return df.select(F.col("id").alias(name), F.explode(F.array_distinct(F.concat(*keys))).alias("k")).select(name, "k.rule", "k.key")
 
 
-def joined(left: DataFrame, right: DataFrame, rule: Rule) -> DataFrame:
-    """(l, r): distinct pairs of one pass."""
-    on = [f"k{i}" for i in range(len(rule.keys))]
-    return _side(left, rule.left or rule.keys, "l").join(_side(right, rule.keys, "r"), on).select("l", "r").distinct()
+def joined(left: DataFrame, right: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(l, r, rule) with the number of each rule whose keys join the pair; one equi-join for all rules of a pass."""
+    return _key_rows(left, rules, True, "l").join(_key_rows(right, rules, False, "r"), ["rule", "key"]).select("l", "r", "rule").distinct()
 
 
 def _agreement(a: Column, b: Column, near: Column | None, yes: float, close: float, no: float) -> Column:
@@ -142,11 +164,11 @@ def _judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a, b, extra in zip(p.ta, p.tb, p.extra):
             s, conflict = name_similarity(list(a), list(b), [1.0] * len(a), [1.0] * len(b), False)
             rows.append(s - 0.6 * conflict + extra if s >= 0.3 else -1.0)
-        yield pd.DataFrame({"l": p.l, "r": p.r, "score": rows})
+        yield pd.DataFrame({"l": p.l, "r": p.r, "rule": p["rule"], "least": p.least, "score": rows})
 
 
 def judged(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l, r, score): the names' soft similarity plus the agreement of the other attributes."""
+    """``pairs`` with a score: the names' soft similarity plus the agreement of the other attributes."""
     side = lambda df, k, name: df.select(F.col("id").alias(name), *(F.col(c).alias(f"{c}{k}") for c in ("tokens", "born", "slips", "year", "shirt", "team", "town")))
     both = pairs.join(side(left, "1", "l"), "l").join(side(right, "2", "r"), "r")
     birth = F.when(
@@ -155,37 +177,37 @@ def judged(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     ).otherwise(_agreement(F.col("year1"), F.col("year2"), None, 0.2, 0.0, -0.4))
     shirt = _agreement(F.col("shirt1"), F.col("shirt2"), None, 0.25, 0.0, -0.15)
     team = _agreement(F.col("team1"), F.col("team2"), F.arrays_overlap("town1", "town2"), 0.3, 0.15, -0.2)
-    return both.select("l", "r", F.col("tokens1").alias("ta"), F.col("tokens2").alias("tb"), (birth + shirt + team).cast("double").alias("extra")).mapInPandas(_judge, "l long, r long, score double")
+    kept = both.select("l", "r", "rule", "least", F.col("tokens1").alias("ta"), F.col("tokens2").alias("tb"), (birth + shirt + team).cast("double").alias("extra"))
+    return kept.mapInPandas(_judge, "l long, r long, rule int, least double, score double")
 
 
-def rule_precision(labelled: DataFrame, person: str, rules: tuple[Rule, ...]) -> dict[str, float]:
+def rule_precision(labelled: DataFrame, person: str, passes: tuple[tuple[Rule, ...], ...] = PASSES) -> dict[str, float]:
     """Smoothed precision per rule: of the pairs of labelled records that its keys join, the share of one person.
 
     ``labelled`` has the key columns of :func:`keyed`, the person and a boolean ``first`` that splits it into two sides.
     Only counts per rule reach the driver.
     """
+    rules = tuple(r for p in passes for r in p)
     who = labelled.select("id", person)
-    left, right = labelled.filter("first"), labelled.filter("not first")
-    counted = None
-    for rule in rules:
-        pairs = joined(left, right, rule).join(who.select(F.col("id").alias("l"), F.col(person).alias("a")), "l").join(who.select(F.col("id").alias("r"), F.col(person).alias("b")), "r")
-        one = pairs.agg(F.lit(rule.name).alias("rule"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") == F.col("b")).alias("good"))
-        counted = one if counted is None else counted.unionByName(one)
-    return {r.rule: (r.good + 1) / (r.n + 2) for r in counted.collect()}
+    pairs = joined(labelled.filter("first"), labelled.filter("not first"), rules)
+    pairs = pairs.join(who.select(F.col("id").alias("l"), F.col(person).alias("a")), "l").join(who.select(F.col("id").alias("r"), F.col(person).alias("b")), "r")
+    counts = {r["rule"]: (r.good, r.n) for r in pairs.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") == F.col("b")).alias("good")).collect()}
+    return {r.name: (counts.get(i, (0, 0))[0] + 1) / (counts.get(i, (0, 0))[1] + 2) for i, r in enumerate(rules)}
 
 
-def match_cascade(left: DataFrame, right: DataFrame, precision: dict[str, float], rules: tuple[Rule, ...] = RULES, lead: float = 0.1) -> DataFrame:
+def match_cascade(left: DataFrame, right: DataFrame, precision: dict[str, float], passes: tuple[tuple[Rule, ...], ...] = PASSES, lead: float = 0.1) -> DataFrame:
     """(l, r, rule, confidence): each right record with at most one left record."""
-    left, open_ = cut(left), cut(right)
-    every, done = open_, None
-    for step, rule in enumerate(rules):
-        scored = judged(joined(left, open_, rule), left, every).filter(F.col("score") >= rule.least)
+    left, right = cut(left), cut(right)
+    open_, done = right, None
+    for rules in passes:
+        number = lambda values: F.array(*(F.lit(v) for v in values))[F.col("rule")]  # noqa: B023, E731
+        pairs = joined(left, open_, rules).withColumn("least", number([float(r.least) for r in rules]))
+        pairs = pairs.groupBy("l", "r").agg(F.min("rule").alias("rule"), F.min("least").alias("least"))
+        scored = judged(pairs, left, right).filter(F.col("score") >= F.col("least"))
         order = Window.partitionBy("r").orderBy(F.desc("score"), "l")
-        best = scored.select("l", "r", "score", F.row_number().over(order).alias("place"), F.lead("score").over(order).alias("next"))
+        best = scored.select("l", "r", "rule", "score", F.row_number().over(order).alias("place"), F.lead("score").over(order).alias("next"))
         clear = best.filter((F.col("place") == 1) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= lead)))
-        found = cut(clear.select("l", "r", F.lit(rule.name).alias("rule"), F.lit(float(precision.get(rule.name, 0.5))).alias("confidence")))
+        found = cut(clear.select("l", "r", number([r.name for r in rules]).alias("rule"), number([float(precision.get(r.name, 0.5)) for r in rules]).alias("confidence")))
         done = found if done is None else done.unionByName(found)
         open_ = open_.join(found.select(F.col("r").alias("id")), "id", "left_anti")
-        if step % 4 == 3:
-            open_ = cut(open_)
     return done
