@@ -182,10 +182,11 @@ class _KernelEngine(SyncEngine):
         names = [*keys, a.id_field, b.id_field]
 
         def both(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            block = (x if len(x) else y)[keys].iloc[0].tolist() if len(x) or len(y) else []
+            if not len(x) or not len(y):  # an absent side comes without columns
+                return pd.DataFrame([], columns=names)
+            block = x[keys].iloc[0].tolist()
             x, y = (d.sort_values(POS, kind="stable").astype(object).where(lambda f: f.notna(), None).reset_index(drop=True) for d in (x, y))
-            found = run(x, y) if len(x) and len(y) else []
-            return pd.DataFrame([(*block, i, j) for i, j in found], columns=names)
+            return pd.DataFrame([(*block, i, j) for i, j in run(x, y)], columns=names)
 
         found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(both, schema)
         return cut(found.select(*self.block, a.id_field, b.id_field))

@@ -65,11 +65,11 @@ def day_month_order(frames: list[tuple[DataFrame, str]], source: str) -> DataFra
     """(source, month_first): the order of all-digit dates per source, by majority over all rows."""
     both = None
     for df, column in frames:
-        one = df.select(F.col(source).alias("_source"), F.col(column).alias("_value"))
+        one = df.select(F.col(source).alias("__order_source"), F.col(column).alias("__order_value"))
         both = one if both is None else both.unionByName(one)
-    kept = both.filter(F.col("_value").rlike(r"^\s*\d{1,2}[-/.]\d{1,2}[-/.]\d{4}"))
-    votes = kept.groupBy("_source").agg(*order_votes(F.col("_value"), F.col("_source")))
-    return votes.select("_source", (F.col("mdy") > F.col("dmy")).alias("_month_first"))
+    kept = both.filter(F.col("__order_value").rlike(r"^\s*\d{1,2}[-/.]\d{1,2}[-/.]\d{4}"))
+    votes = kept.groupBy("__order_source").agg(*order_votes(F.col("__order_value"), F.col("__order_source")))
+    return votes.select("__order_source", (F.col("mdy") > F.col("dmy")).alias("__order_month_first"))
 
 
 @lru_cache(maxsize=4096)
@@ -309,17 +309,17 @@ def normalise_timestamps(
     version, kept = tz_version(), [c for c in df.columns if c != out]
     base = df.select(*kept)
     if orders is not None:
-        base = base.join(orders, base[source].eqNullSafe(orders["_source"]), "left").drop("_source")
+        base = base.join(orders, base[source].eqNullSafe(orders["__order_source"]), "left").drop("__order_source")
     else:
-        base = base.withColumn("_month_first", F.lit(False))
+        base = base.withColumn("__order_month_first", F.lit(False))
     names = [date, clock, zone]
-    schema = base.drop("_month_first").withColumn(out, F.lit(None).cast("string")).schema
+    schema = base.drop("__order_month_first").withColumn(out, F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.num_rows
             column = lambda c: b.column(b.schema.get_field_index(c)).to_pylist() if c else None
-            first = np.array([bool(x) for x in column("_month_first")], bool)
+            first = np.array([bool(x) for x in column("__order_month_first")], bool)
             if n:
                 iso = iso_instants(column(names[0]), column(names[1]), column(names[2]) or [None] * n, first, version)
             else:

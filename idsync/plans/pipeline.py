@@ -23,7 +23,7 @@ def fill_upsert(target: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     new = updates.filter(F.col(key).isNotNull()).select(key, *(F.col(c).alias(f"{c}_new") if c in updates.columns else F.lit(None).alias(f"{c}_new") for c in others))
     keyless = target.filter(F.col(key).isNull())
     joined = target.filter(F.col(key).isNotNull()).join(new, key, "outer")
-    return joined.select(key, *(F.coalesce(c, f"{c}_new").alias(c) for c in others)).unionByName(keyless.select(key, *others))
+    return joined.select(key, *(F.coalesce(c, f"{c}_new").alias(c) for c in others)).unionByName(keyless).select(*target.columns)
 
 
 def drop_known(rows: DataFrame, known: DataFrame, ids: list[str]) -> DataFrame:

@@ -204,8 +204,10 @@ def _kernel_query(run):
         def pairs(x, y):
             import pandas as pd
 
+            if not len(x) or not len(y):
+                return pd.DataFrame([], columns=[*block, "i", "j"])
             rows = [[(i, r, n) for i, r, n in zip(d["id"], d["team_name"], d["n"])] for d in (x.sort_values(POS), y.sort_values(POS))]
-            keys = (x if len(x) else y)[block].iloc[0].tolist()
+            keys = x[block].iloc[0].tolist()
             return pd.DataFrame([(*keys, i, j) for i, j in run(*rows)], columns=[*block, "i", "j"])
 
         return side(a).groupBy(*block).cogroup(side(b).groupBy(*block)).applyInPandas(pairs, "competition_id string, season_id string, i string, j string")
