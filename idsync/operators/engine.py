@@ -170,7 +170,7 @@ class _KernelEngine(SyncEngine):
         names = {n: F.col(n) if n in c.data.columns else F.lit(None).cast("string") for n in self.columns}
         cells = {**names, **{f"n_{t}": normalize(names[t]) for t in self.texts}, **{k: f(names) for k, f in extra.items()}}
         blocks = [F.concat(F.col(k)).alias(k) for k in self.block] or [F.lit(0).alias("_one")]  # new columns on either side, as both may come from one table
-        return c.data.select(*blocks, F.col(c.id_field).alias("id"), POS, *(v.alias(k) for k, v in cells.items())).dropna(subset=["id"])
+        return c.data.select(*blocks, F.col(c.id_field).alias("id"), F.col(POS).alias(POS), *(v.alias(k) for k, v in cells.items())).dropna(subset=["id"])
 
     def _kernel_pairs(self, a: Content, b: Content, run, extra: dict) -> DataFrame:
         """(block, id a, id b) from ``run(left, right)`` on each block's rows in order."""

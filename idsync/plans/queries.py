@@ -199,7 +199,7 @@ def _kernel_query(run):
 
         ship(spark)
         a, b, block = _team_sides(spark, sf_dir)
-        side = lambda df: df.select(*block, F.col("record_id").cast("string").alias("id"), F.col("record_id").alias(POS), "team_name", text.normalize(F.col("team_name")).alias("n"))
+        side = lambda df: df.select(*(F.concat(b).alias(b) for b in block), F.col("record_id").cast("string").alias("id"), F.col("record_id").alias(POS), F.concat("team_name").alias("team_name"), text.normalize(F.col("team_name")).alias("n"))
 
         def pairs(x, y):
             import pandas as pd
