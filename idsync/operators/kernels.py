@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 
@@ -54,14 +55,16 @@ def assign(profit: np.ndarray) -> np.ndarray:
     return out
 
 
-def trigrams(text: str, n: int = 3) -> list[str]:
+@lru_cache(maxsize=20_000)
+def trigrams(text: str, n: int = 3) -> dict[str, int]:
+    """The runs of ``n`` characters with their counts, after blanks and , - . / ; are deleted."""
     text = re.sub(r"[,\-./;]|\s", "", text)
-    return [text[i : i + n] for i in range(len(text) - n + 1)]
+    return Counter(text[i : i + n] for i in range(len(text) - n + 1))
 
 
 def cosine_matrix(left: list[str], right: list[str]) -> np.ndarray:
     """Cosines of smoothed TF-IDF trigram vectors, right x left; the vocabulary is that of both lists."""
-    bags = [Counter(trigrams(t)) for t in [*left, *right]]
+    bags = [trigrams(t) for t in [*left, *right]]
     place: dict[str, int] = {}
     for b in bags:
         for g in b:
@@ -80,12 +83,25 @@ def cosine_matrix(left: list[str], right: list[str]) -> np.ndarray:
 Row = tuple[str, "str | None", "str | None"]  # id, raw text, normalised text
 
 
-def cosine_match(left: list[Row], right: list[Row], threshold: float) -> list[tuple[str, str]]:
-    """Pairs by optimal assignment of TF-IDF cosines, then cut at the threshold, joined back on the raw text; one per left id."""
+def cosine_match(left: list[Row], right: list[Row], threshold: float, agree: tuple[list, list] | None = None) -> list[tuple[str, str]]:
+    """Pairs by optimal assignment of TF-IDF cosines, then cut at the threshold, joined back on the raw text; one per left id.
+
+    ``agree`` holds what must be equal afterwards, per row; if no pair over the threshold agrees, the
+    assignment cannot contribute and is not computed.
+    """
     a, b = [r for r in left if r[1] is not None], [r for r in right if r[1] is not None]
     if not a or not b:
         return []
     matrix = cosine_matrix([r[2] for r in a], [r[2] for r in b])
+    if agree is not None:
+        x = [k for k, r in zip(agree[0], left) if r[1] is not None]
+        y = [k for k, r in zip(agree[1], right) if r[1] is not None]
+        rows: dict = {}
+        for i, k in enumerate(x):
+            rows.setdefault(k, []).append(i)
+        floor = max(min(threshold, 1.0), 0.0) - 1e-9
+        if not any(k is not None and k in rows and (matrix[j, rows[k]] >= floor).any() for j, k in enumerate(y)):
+            return []
     column = assign(matrix)
     limit = max(min(threshold, 1.0), 0.0)
     met = [(float(matrix[i, j]), i, int(j)) for i, j in enumerate(column) if j >= 0 and matrix[i, j] >= limit]

@@ -52,7 +52,7 @@ def player_layers(with_birth: bool, with_jersey: bool) -> list[PlayerLayer]:
     return [*out, PlayerLayer("whatever is left", date_shift=None, equal=last, threshold=0.0)]
 
 
-def pairs_of(left: pd.DataFrame, right: pd.DataFrame, fields: tuple[str, str], method: Similarity, threshold: float) -> list[tuple[str, str]]:
+def pairs_of(left: pd.DataFrame, right: pd.DataFrame, fields: tuple[str, str], method: Similarity, threshold: float, agree: tuple[list, list] | None = None) -> list[tuple[str, str]]:
     """Id pairs by one method; the frames have id, the raw fields and their normal forms (``n_`` prefix)."""
     rows = lambda df, c: [(i, r, n) for i, r, n in zip(df["id"], df[c], df[f"n_{c}"])]
     a, b = rows(left, fields[0]), rows(right, fields[1])
@@ -60,22 +60,30 @@ def pairs_of(left: pd.DataFrame, right: pd.DataFrame, fields: tuple[str, str], m
         return naive_match(a, b)
     if method is Similarity.FUZZY:
         return fuzzy_match(a, b, threshold)
-    return cosine_match(a, b, threshold)
+    return cosine_match(a, b, threshold, agree)
+
+
+def _attributes(df: pd.DataFrame, columns: list[str]) -> list:
+    """What must agree, per row; None where something is unknown."""
+    if not columns:
+        return [()] * len(df)
+    return [None if None in k else k for k in zip(*(df[c] for c in columns))]
 
 
 def apply_layer(left: pd.DataFrame, right: pd.DataFrame, layer: PlayerLayer) -> list[tuple[str, str]]:
     """Pairs of one layer after its attribute checks; ids with more than one partner are left out."""
-    found = pairs_of(left, right, layer.fields, layer.method, layer.threshold)
-    one, two = left.drop_duplicates("id").set_index("id"), right.drop_duplicates("id").set_index("id")
-    for c in layer.equal:
-        if c not in one.columns:
-            continue
-        mine = c
-        if c == "birth_date" and layer.date_shift is not None:
-            mine = f"{'s' if layer.swap_month_day else 'b'}{layer.date_shift}"
-        a, b = one[mine], two[c]
-        found = [(i, j) for i, j in found if a[i] is not None and a[i] == b[j]]
-    found = list(dict.fromkeys(found))
+    equal = [c for c in layer.equal if c in left.columns]
+    shifted = f"{'s' if layer.swap_month_day else 'b'}{layer.date_shift}"
+    mine = [shifted if c == "birth_date" and layer.date_shift is not None else c for c in equal]
+    one, two = _attributes(left, mine), _attributes(right, equal)
+    if not (set(one) & set(two)) - {None}:
+        return []
+    found = pairs_of(left, right, layer.fields, layer.method, layer.threshold, (one, two))
+    of_left, of_right = {}, {}
+    for known, ids, keys in ((of_left, left["id"], one), (of_right, right["id"], two)):
+        for i, k in zip(ids, keys):
+            known.setdefault(i, k)
+    found = list(dict.fromkeys((i, j) for i, j in found if of_left[i] is not None and of_left[i] == of_right[j]))
     left_n, right_n = Counter(i for i, _ in found), Counter(j for _, j in found)
     return [(i, j) for i, j in found if left_n[i] == 1 and right_n[j] == 1]
 

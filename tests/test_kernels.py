@@ -70,7 +70,8 @@ def test_naive_match_against_nested_loops(x, y):
 
 def test_fuzzy_match():
     a, b = rows("a", ["maria guadalupe sanchez", "john smith"]), rows("b", ["smith john", "maria sanchez", "nobody", None])
-    assert fuzzy_match(a, b, 0.9) == [("a1", "b0"), ("a0", "b1")]
+    assert fuzzy_match(a, b, 0.9) == [("a1", "b0")]
+    assert fuzzy_match(a, b, 0.85) == [("a1", "b0"), ("a0", "b1")]
     assert fuzzy_match([], b, 0.9) == []
 
 
