@@ -1,9 +1,9 @@
 """Variant spellings of names of people and teams, linked inside blocks.
 
 Candidates come from a prefix-filtered set-similarity join: every spelling is the set of
-q-grams of its tokens; ordered from the rarest gram on, two sets that share the fraction
-``overlap`` of the smaller one must share a gram of the smaller one's prefix, so only prefixes
-are joined with full sets, keyed by block and gram. Verification is a soft weighted token
+q-grams of its tokens in one fixed order; two sets that share the fraction ``overlap`` of
+the smaller one must share a gram of the smaller one's prefix, so only prefixes are joined
+with full sets, keyed by block and gram, and the pairs found are held to the overlap. Verification is a soft weighted token
 similarity: tokens are paired one to one by equality, initial, short form, spelling
 habits or edit distance, and weigh by the log of their rarity among all spellings.
 
@@ -12,7 +12,7 @@ shirt number, country) add to or take from a pair's score. Two ids of one source
 in a block are taken for different things. Per unit and other source only mutual best
 pairs count, and links through a third source are followed once.
 
-Nothing is capped: hub grams only cost join rows, and the prefix begins with the rarest.
+Nothing is capped: a frequent gram only costs join rows inside its block.
 
 Defined results: null or empty names link nothing; repeated rows are units of one id;
 pairs that look alike (equal canonical forms) are left out; missing attributes are neutral.
@@ -177,27 +177,30 @@ CLUBS = Weights(conflict=0.8, evidence=((0.25, -0.5), (0.05, -0.2)), accept=0.62
 
 
 def _grams(tokens: Column, q: int) -> Column:
+    """The hashes of all q-grams of the padded tokens, in one fixed order."""
     padded = F.transform(tokens, lambda t: F.concat(F.lit("^"), t, F.lit("$")))
-    cuts = F.transform(padded, lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - q + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(q))))
-    return F.array_distinct(F.flatten(cuts))
+    cuts = F.transform(padded, lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - q + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(t, i, F.lit(q)))))
+    return F.array_sort(F.array_distinct(F.flatten(cuts)))
 
 
-def candidates(units: DataFrame, blocks: list[str], q: int, overlap: float) -> DataFrame:
-    """(i, j): units of one block, of different sources, whose gram sets share ``overlap`` of the smaller one.
+def _least_shared(size: Column, overlap: float) -> Column:
+    return F.ceil(size * overlap - 1e-9)
 
-    ``units`` has uid, source, tokens and the block columns.
+
+def candidates(units: DataFrame, blocks: list[str], overlap: float) -> DataFrame:
+    """(i, j): units of one block, of different sources, that may share ``overlap`` of the smaller gram set.
+
+    ``units`` has uid, source, grams and the block columns. Any fixed order of grams makes the
+    prefix of the smaller set meet the larger set; that of the hashes needs no counts. A gram
+    is joined inside its block only.
     """
-    grams = cut(units.select(*blocks, "uid", "source", F.explode(_grams(F.col("tokens"), q)).alias("gram")))
-    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
-    ranked = grams.join(often, "gram")
-    order = Window.partitionBy("uid").orderBy("often", "gram")
-    all_ = Window.partitionBy("uid")
-    placed = ranked.withColumn("place", F.row_number().over(order)).withColumn("size", F.count(F.lit(1)).over(all_))
-    placed = cut(placed.withColumn("prefix", F.col("place") <= F.col("size") - F.ceil(F.col("size") * overlap) + 1).drop("often", "place"))
+    size = F.size("grams")
+    base = units.select(*blocks, "uid", "source", size.alias("size"), "grams")
+    prefix = base.select(*blocks, "uid", "source", "size", F.explode(F.slice("grams", F.lit(1), F.greatest((F.col("size") - _least_shared(F.col("size"), overlap) + 1).cast("int"), F.lit(0)))).alias("gram"))
+    every = base.select(*blocks, "uid", "source", "size", F.explode("grams").alias("gram"))
     side = lambda n, df: df.select(*blocks, "gram", *(F.col(c).alias(f"{c}{n}") for c in ("uid", "source", "size")))
-    small, full = side("1", placed.filter("prefix")), side("2", placed)
     smaller = (F.col("size1") < F.col("size2")) | ((F.col("size1") == F.col("size2")) & (F.col("uid1") < F.col("uid2")))
-    pairs = small.join(full, [*blocks, "gram"]).filter(smaller & (F.col("source1") != F.col("source2")))
+    pairs = side("1", prefix).join(side("2", every), [*blocks, "gram"]).filter(smaller & (F.col("source1") != F.col("source2")))
     return pairs.select(F.least("uid1", "uid2").alias("i"), F.greatest("uid1", "uid2").alias("j")).distinct()
 
 
@@ -232,24 +235,25 @@ def _scores(weights: Weights):
     return run, schema
 
 
-def score_pairs(pairs: DataFrame, units: DataFrame, weights: Weights) -> DataFrame:
-    """(i, j, score) with the soft weighted token similarity and the evidence of the attributes."""
+def score_pairs(pairs: DataFrame, units: DataFrame, weights: Weights, overlap: float) -> DataFrame:
+    """(i, j, score) of pairs that do share ``overlap`` of the smaller gram set: the soft weighted token similarity and the evidence of the attributes."""
     total = units.count()
     often = units.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("often"))
     spread = units.select("uid", F.posexplode("tokens").alias("at", "token")).join(often, "token")
     weight = F.log(F.lit(1.0 + total) / F.col("often")) + 0.3
-    weighed = spread.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("at", "token", weight.alias("w")))).alias("x"))
+    weighed = spread.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("at", weight.cast("float").alias("w")))).alias("x"))
     marks = [f"m{k}" for k in range(len(weights.evidence))]
-    full = cut(weighed.join(units.select("uid", "nick", *marks), "uid").select("uid", F.col("x.token").alias("t"), F.col("x.w").alias("w"), F.col("nick").alias("n"), *marks))
-    side = lambda k, name: full.select(F.col("uid").alias(name), *(F.col(c).alias(f"{c}{k}") for c in ("t", "w", "n")), *(F.col(m).alias(f"{m}_{k}") for m in marks))
+    full = cut(units.select("uid", "tokens", "nick", "grams", *marks).join(weighed, "uid").select("uid", F.col("tokens").alias("t"), F.col("x.w").alias("w"), F.col("nick").alias("n"), F.col("grams").alias("g"), *marks))
+    side = lambda k, name: full.select(F.col("uid").alias(name), *(F.col(c).alias(f"{c}{k}") for c in ("t", "w", "n", "g")), *(F.col(m).alias(f"{m}_{k}") for m in marks))
     joined = pairs.join(side(1, "i"), "i").join(side(2, "j"), "j")
+    joined = joined.filter(F.size(F.array_intersect("g1", "g2")) >= _least_shared(F.least(F.size("g1"), F.size("g2")), overlap))
     evidence = [F.when(F.col(f"{m}_1") == F.col(f"{m}_2"), 1).when(F.col(f"{m}_1").isNotNull() & F.col(f"{m}_2").isNotNull(), 0).otherwise(-1).alias(f"e{k}") for k, m in enumerate(marks)]
     run, schema = _scores(weights)
     return joined.select("i", "j", "t1", "w1", "n1", "t2", "w2", "n2", *evidence).mapInPandas(run, schema)
 
 
 def link_variants(
-    records: DataFrame, *, key: str, blocks: list[str], source: str, source_id: str, form: str, nickname: str | None, evidence: list[str], weights: Weights, q: int = 3, overlap: float = 0.4
+    records: DataFrame, *, key: str, blocks: list[str], source: str, source_id: str, form: str, nickname: str | None, evidence: list[str], weights: Weights, q: int = 3, overlap: float = 0.3
 ) -> DataFrame:
     """(id_1, id_2): records of one block that name the same thing in forms that look different.
 
@@ -268,10 +272,10 @@ def link_variants(
     marks = [f"m{k}" for k in range(len(evidence))]
     units = base.groupBy(*node, "form", "tokens", "nick").agg(F.min("id").alias("uid"), *(F.min(m).alias(m) for m in marks))
     own = F.min("uid").over(Window.partitionBy(*node))
-    units = cut(units.withColumn("nid", own))
-    found = candidates(units, blocks, q, overlap)
+    units = cut(units.withColumns({"nid": own, "grams": _grams(F.col("tokens"), q)}))
+    found = candidates(units, blocks, overlap)
     ids = units.select("uid", "nid", "source")
-    scored = score_pairs(found, units, weights).filter(F.col("score") >= weights.accept)
+    scored = score_pairs(found, units, weights, overlap).filter(F.col("score") >= weights.accept)
     named = scored.join(ids.select(F.col("uid").alias("i"), F.col("nid").alias("a"), F.col("source").alias("sa")), "i")
     named = named.join(ids.select(F.col("uid").alias("j"), F.col("nid").alias("b"), F.col("source").alias("sb")), "j")
     nodes = named.groupBy("a", "sa", "b", "sb").agg(F.max("score").alias("score"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from idsync.llm.cascade import birth_date, keyed, match_cascade, rule_precision
 from idsync.llm.lookalikes import CLASSES, Canonical, Lattice, compatible, same_looks
-from idsync.llm.variants import CLUBS, PEOPLE, candidates, edits, link_variants, name_similarity, token_similarity, tokens_of
+from idsync.llm.variants import CLUBS, PEOPLE, _grams, candidates, edits, link_variants, name_similarity, token_similarity, tokens_of
 
 LATTICE = Lattice({"^a": 5, "an": 9, "no": 4, "ра": 3, "ар": 2, "ос": 2, "ca": 3, "ap": 2})
 
@@ -86,7 +86,7 @@ def test_prefix_filter_loses_nothing(spark):
     names = ["ann lee", "ana leewood", "leewood", "bo", "anna lee may", "zed zed", "lee"]
     grams = lambda t: {g for w in t.split() for v in ["^" + w + "$"] for g in [v[i : i + 3] for i in range(max(1, len(v) - 2))]}
     df = spark.createDataFrame([(i, "m", f"s{i % 2}", n.split()) for i, n in enumerate(names)], "uid long, b string, source string, tokens array<string>")
-    got = {tuple(r) for r in candidates(df, ["b"], 3, 0.4).collect()}
+    got = {tuple(r) for r in candidates(df.withColumn("grams", _grams(F.col("tokens"), 3)), ["b"], 0.4).collect()}
     wanted = {(i, j) for i in range(7) for j in range(i + 1, 7) if i % 2 != j % 2 and len(grams(names[i]) & grams(names[j])) >= 0.4 * min(len(grams(names[i])), len(grams(names[j])))}
     assert wanted <= got
 
