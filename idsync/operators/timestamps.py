@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
 from functools import lru_cache
 from zoneinfo import ZoneInfo, available_timezones
 
@@ -127,23 +127,22 @@ def zone_table(version: str, name: str) -> tuple[np.ndarray, np.ndarray] | None:
         raise RuntimeError(f"zone data {tz_version()} on this worker, {version} on the driver")
     if name not in available_timezones():
         return None
-    zone, step = ZoneInfo(name), timedelta(days=3)
-    offset = lambda t: zone.utcoffset(t.astimezone(zone))
-    at, last = datetime(1970, 1, 1, tzinfo=timezone.utc), datetime(2100, 1, 1, tzinfo=timezone.utc)
+    zone, step = ZoneInfo(name), 3 * 86_400
+    offset = lambda second: zone.utcoffset(datetime.fromtimestamp(second, zone)).total_seconds()
+    at, last = 0, int(datetime(2100, 1, 1, tzinfo=timezone.utc).timestamp())
     now, starts, offsets = offset(at), [], [offset(at)]
     while at < last:
         then = offset(at + step)
         if then != now:
             low, high = at, at + step
-            while high - low > timedelta(seconds=1):
-                middle = low + (high - low) / 2
+            while high - low > 1:
+                middle = (low + high) // 2
                 low, high = (middle, high) if offset(middle) == now else (low, middle)
-            edge = round(high.timestamp())
-            starts.append((edge + max(now, then).total_seconds()) * 1000)
+            starts.append((high + max(now, then)) * 1000)
             offsets.append(then)
             now = then
         at += step
-    return np.array(starts, "int64"), np.array([x.total_seconds() * 1000 for x in offsets], "int64")
+    return np.array(starts, "int64"), np.array([x * 1000 for x in offsets], "int64")
 
 
 def to_utc(local: np.ndarray, zones: np.ndarray, version: str) -> np.ndarray:

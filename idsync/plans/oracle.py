@@ -175,7 +175,68 @@ def _birth(expression: str) -> str:
     return _text("version_id", "squad_versions", expression)
 
 
+# --- mixed timestamps ------------------------------------------------------------------------
+
+_YMD = r"^(\d{4})[-/.]?(\d{2})[-/.]?(\d{2})(?:[T ](.*))?$"
+_TWO = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$"
+_DMY = r"^(?:[A-Za-z]{3}, )?(\d{1,2})[ -]([A-Za-z]{3,9})[ -](\d{4})(?: (.*))?$"
+_MDY = r"^([A-Za-z]{3,9}) (\d{1,2}), (\d{4})$"
+_TIME = r"^(\d{1,2})[:.]?(\d{2})(?:[:.]?(\d{2})(?:\.(\d{1,6}))?)? ?([AaPp][Mm])? ?(GMT|UTC|Z|[-+]\d{2}:?\d{2})?(?:\[.*\])?$"
+
+
+def _part(x: str, pattern: str, group: int) -> str:
+    return f"regexp_extract({x}, {_q(pattern)}, {group})"
+
+
+def _like(x: str, pattern: str) -> str:
+    return f"regexp_matches({x}, {_q(pattern)})"
+
+
+def _day(x: str, month_first: str) -> str:
+    month = lambda name: f"((position(lower(left({name}, 3)) IN 'janfebmaraprmayjunjulaugsepoctnovdec') + 2) // 3)"
+    made = lambda y, m, d: f"try_cast(printf('%04d-%02d-%02d', CAST({y} AS INT), CAST({m} AS INT), CAST({d} AS INT)) AS DATE)"
+    p, q, y = (_part(x, _TWO, i) for i in (1, 2, 3))
+    return f"""CASE WHEN {_like(x, r'^(\d{10}|\d{13})$')} THEN NULL
+      WHEN {_like(x, _YMD)} THEN {made(*(_part(x, _YMD, i) for i in (1, 2, 3)))}
+      WHEN {_like(x, _TWO)} AND {month_first} THEN {made(y, p, q)} WHEN {_like(x, _TWO)} THEN {made(y, q, p)}
+      WHEN {_like(x, _DMY)} THEN {made(_part(x, _DMY, 3), month(_part(x, _DMY, 2)), _part(x, _DMY, 1))}
+      WHEN {_like(x, _MDY)} THEN {made(_part(x, _MDY, 3), month(_part(x, _MDY, 1)), _part(x, _MDY, 2))} END"""
+
+
+def _clock_ms(t: str) -> str:
+    h, m, sec, f, half = (_part(t, _TIME, i) for i in (1, 2, 3, 4, 5))
+    hour = f"(CASE WHEN {half} = '' THEN CAST({h} AS INT) ELSE CAST({h} AS INT) % 12 + CASE WHEN lower({half}) = 'pm' THEN 12 ELSE 0 END END)"
+    second = f"CAST(CASE WHEN {sec} = '' THEN '0' ELSE {sec} END AS INT)"
+    return f"CASE WHEN {_like(t, _TIME)} THEN (({hour} * 60 + CAST({m} AS INT)) * 60 + {second}) * 1000 + CAST(left({f} || '000', 3) AS INT) END"
+
+
+def _offset_ms(t: str) -> str:
+    z = f"replace({_part(t, _TIME, 6)}, ':', '')"
+    return f"CASE WHEN {z} IN ('GMT', 'UTC', 'Z') THEN 0 WHEN {z} <> '' THEN (CASE left({z}, 1) WHEN '-' THEN -60000 ELSE 60000 END) * (CAST(substring({z}, 2, 2) AS INT) * 60 + CAST(substring({z}, 4, 2) AS INT)) END"
+
+
+_VOTES = " UNION ALL ".join(
+    f"SELECT data_provider, CAST({_part(c, _TWO, 1)} AS INT) AS p, CAST({_part(c, _TWO, 2)} AS INT) AS q FROM {t} WHERE {_like(c, _TWO)}" for t, c in (("match_records", "match_date"), ("player_records", "birth_date"))
+)
+P6_FOUND = f"""
+WITH votes AS ({_VOTES}),
+orders AS (SELECT data_provider, count(*) FILTER (q BETWEEN 13 AND 31 AND p BETWEEN 1 AND 12) > count(*) FILTER (p BETWEEN 13 AND 31 AND q BETWEEN 1 AND 12) AS mf FROM votes GROUP BY data_provider),
+m AS (SELECT record_id, trim(match_date) AS d, trim(kick_off) AS k, coalesce(venue_zone, 'UTC') AS z, coalesce(mf, FALSE) AS mf FROM match_records LEFT JOIN orders USING (data_provider)),
+parts AS (SELECT *, {_day('d', 'mf')} AS day, CASE WHEN {_like('d', _YMD)} THEN {_part('d', _YMD, 4)} WHEN {_like('d', _DMY)} THEN {_part('d', _DMY, 4)} ELSE '' END AS rest,
+  CASE WHEN {_like('d', r'^\d{10}$')} THEN CAST(d AS BIGINT) * 1000 WHEN {_like('d', r'^\d{13}$')} THEN CAST(d AS BIGINT) END AS epoch FROM m),
+timed AS (SELECT *, CASE WHEN {_like('rest', _TIME)} THEN rest WHEN {_like('k', _TIME)} THEN k END AS t FROM parts),
+local AS (SELECT *, epoch_ms(CAST(day AS TIMESTAMP)) + {_clock_ms('t')} AS ms, {_offset_ms('t')} AS off FROM timed),
+zoned AS (SELECT *, timezone(z, make_timestamp(ms * 1000)) AS inst FROM local),
+found AS (SELECT record_id, day, CASE WHEN epoch IS NOT NULL THEN epoch WHEN off IS NOT NULL THEN ms - off
+  WHEN timezone(z, inst - INTERVAL 1 HOUR) = make_timestamp(ms * 1000) THEN epoch_ms(inst) - 3600000 ELSE epoch_ms(inst) END AS utc FROM zoned),
+b AS (SELECT record_id, trim(birth_date) AS d, coalesce(mf, FALSE) AS mf FROM player_records LEFT JOIN orders USING (data_provider))
+SELECT 'match' AS record_type, record_id, CASE WHEN utc IS NOT NULL THEN strftime(make_timestamp(utc * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') ELSE strftime(day, '%Y-%m-%d') END AS iso_value
+FROM found WHERE utc IS NOT NULL OR day IS NOT NULL
+UNION ALL SELECT 'player', record_id, strftime({_day('d', 'mf')}, '%Y-%m-%d') FROM b WHERE {_day('d', 'mf')} IS NOT NULL
+"""
+
 ORACLE = {
+    "p6_found": P6_FOUND,
     "clean_spaces": _person(clean_spaces("player_name")),
     "remove_accents": _person(remove_accents("player_name")),
     "non_word_chars": _person(non_word("player_name")),

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from idsync.operators.timestamps import compile_clock, compile_date, day_month_order, iso_instants, mask_of, normalise_timestamps, to_utc, tz_version
+from idsync.operators.timestamps import compile_clock, compile_date, day_month_order, iso_instants, mask_of, normalise_timestamps, to_utc, tz_version, zone_table
 
 V = tz_version()
 ZONES = ["America/New_York", "Europe/Berlin", "Australia/Adelaide", "Asia/Kolkata", "Africa/Casablanca", "Australia/Lord_Howe"]
@@ -22,6 +22,8 @@ def iso(date, clock=None, zone=None, month_first=False):
         ("2024-03-10", "02:30", "America/New_York", "2024-03-10T07:30:00.000Z"),  # skipped: moves on by an hour
         ("2024-11-03", "1:30 AM", "America/New_York", "2024-11-03T05:30:00.000Z"),  # twice: the first
         ("2024-11-03", "02:00", "America/New_York", "2024-11-03T07:00:00.000Z"),
+        ("2024-03-10T03:00:00.000000", None, "America/Los_Angeles", "2024-03-10T10:00:00.000Z"),
+        ("31-03-2024", "0200", "Europe/London", "2024-03-31T01:00:00.000Z"),
         ("2025-03-18T17:45:00+0900", None, "Europe/Berlin", "2025-03-18T08:45:00.000Z"),
         ("1641663000", None, None, "2022-01-08T17:30:00.000Z"),
         ("1641421810129", None, None, "2022-01-05T22:30:10.129Z"),
@@ -71,6 +73,16 @@ def test_local_times_against_the_zone_library(name, local):
     assert got == int(wanted.timestamp() * 1000)
 
 
+@pytest.mark.parametrize("name", ZONES)
+def test_around_every_change_of_a_zone(name):
+    """Whole hours, minutes and seconds around all changes of some years."""
+    starts, _ = zone_table(V, name)
+    near = [int(s) + d * 1000 for s in starts[-60:-40] for d in (-7200, -3601, -3600, -1801, -1800, -1, 0, 1, 1799, 1800, 3600)]
+    got = to_utc(np.array(near), np.array([name] * len(near), object), V)
+    wanted = [int((datetime(1970, 1, 1) + timedelta(milliseconds=n)).replace(tzinfo=ZoneInfo(name), fold=0).astimezone(timezone.utc).timestamp() * 1000) for n in near]
+    assert got.tolist() == wanted
+
+
 def test_masks_compile_once():
     assert mask_of(np.array(["2024-03-01T10:05Z", "Mai"])).tolist() == ["9999-99-99A99:99A", "AAA"]
     assert compile_date("9999-99-99A99:99A") is compile_date("9999-99-99A99:99A")
