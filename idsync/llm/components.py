@@ -1,11 +1,12 @@
 """Connected components over pairwise links by alternating large-star and small-star rewrites.
 
-Nodes are strings; a component is named by its smallest node in character order. Both
-rewrites are one aggregation (minimum per node, combined before the shuffle) and one
-equi-join of the edges with those minima. A hub is only ever hot on the edge side, which
-adaptive execution splits; no neighbour list is ever gathered. After each pair of
-rewrites the edges are checkpointed in the shared folder, and the loop ends when the set of
-edges no longer changes (count and order-free hash of all edges).
+Nodes are strings; a component is named by its smallest node in character order. They are
+numbered once in that order, so the rewrites move pairs of numbers only. Both rewrites are
+one aggregation (minimum per node, combined before the shuffle) and one equi-join of the
+edges with those minima. A hub is only ever hot on the edge side, which adaptive execution
+splits; no neighbour list is ever gathered. After each pair of rewrites the edges are
+checkpointed in the shared folder, and the loop ends when the set of edges no longer changes
+(count and order-free hash of all edges).
 
 Defined results: null, blank and self links add a node but no edge; repeated and reversed
 links count once; no links give an empty table.
@@ -29,10 +30,10 @@ def plain_number(value: Column) -> Column:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Connect every larger neighbour of a node to the smallest node around it."""
+    """Connect every larger neighbour of a node to the smallest node around it; repeated edges may come out."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -46,11 +47,18 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 
 
+def numbered(nodes: DataFrame) -> DataFrame:
+    """(node, n): numbers in the order of the nodes, from a range partitioning and the place in each partition."""
+    spread = nodes.repartitionByRange("node").sortWithinPartitions("node")
+    return cut(spread.select("node", F.monotonically_increasing_id().alias("n")))
+
+
 def connected_components(links: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component) for every non-null value of ``left`` and ``right``."""
     pairs = links.select(F.col(left).alias("a"), F.col(right).alias("b"))
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).dropna().distinct()
-    edges = cut(pairs.dropna().filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    nodes = numbered(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).dropna().distinct())
+    linked = pairs.dropna().filter("a <> b").join(nodes.select(F.col("node").alias("a"), F.col("n").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("n").alias("y")), "b")
+    edges = cut(linked.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
     before = _state(edges)
     for _ in range(MAX_ROUNDS):
         edges = cut(_small_star(_large_star(edges)))
@@ -60,8 +68,8 @@ def connected_components(links: DataFrame, left: str, right: str) -> DataFrame:
         before = after
     else:
         raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")
-    found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    named = edges.join(nodes.select(F.col("n").alias("v"), F.col("node").alias("component")), "v").select(F.col("u").alias("n"), "component")
+    return nodes.join(named, "n", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def link_groups(links: DataFrame, kind: str, left: tuple[str, str], right: tuple[str, str]) -> DataFrame:
