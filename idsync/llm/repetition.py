@@ -1,15 +1,18 @@
 """Repetition inside documents, found by n-gram perplexity.
 
-A modified Kneser-Ney model of order 4 over word hashes is counted by Spark over all texts.
-The n-grams of a document are reduced to distinct ones with a count before anything moves; they
-are then partitioned by their two middle words and sorted, so the counts of orders 4 and 3 and
-of their contexts are runs of one sorted hash array per partition, read off by windows
-without another shuffle. Orders 2 and 1 come from the distinct trigrams. A text that
-repeats itself makes its own n-grams frequent, and its perplexity falls far below what is
-usual in its language: per language, documents under ``low`` or over ``high`` times the median
-are rejected. As language labels may be wrong, the lower limit of a language is never below that
+A modified Kneser-Ney model of order 4 over word hashes. The lower orders are counted by
+Spark over all texts; the highest order is counted per document, so a text that repeats itself
+predicts itself and its perplexity falls far below what is usual in its language, however
+large the corpus. Per language, documents under ``low`` or over ``high`` times the median are
+rejected. As language labels may be wrong, the lower limit of a language is never below that
 of the corpus as a whole.
 
+The n-grams of a document are reduced to distinct ones with their counts, and those of their
+contexts, before anything moves. They are then partitioned by their two middle words and
+sorted, so the counts of order 3 and of its contexts are runs of one sorted hash array per
+partition, read off by windows without another shuffle. Orders 2 and 1 come from the
+distinct trigrams.
+
 The share of repeated content is then measured exactly on the rejected documents: letters
 that lie in a second or later copy of a passage of 20 letters or more.
 
@@ -66,9 +69,21 @@ def repeated_share(text: str | None, passage: int = 20) -> float:
     return covered / n
 
 
+def _counted(row: list[int]) -> tuple[np.ndarray, ...]:
+    """Distinct 4-grams of one document with their counts, those of their contexts, and how many n-grams of count 1, 2 and more follow the context."""
+    padded = np.array([0] * (ORDER - 1) + row, "int64").astype("int32")
+    grams, n = np.unique(np.lib.stride_tricks.sliding_window_view(padded, ORDER), axis=0, return_counts=True)
+    new = np.ones(len(n), bool)
+    new[1:] = (grams[1:, :-1] != grams[:-1, :-1]).any(axis=1)
+    context = np.cumsum(new) - 1
+    per = lambda weight: np.bincount(context, weight)[context].astype("int32")
+    return grams, n.astype("int32"), per(n), per(n == 1), per(n == 2), per(n >= 3)
+
+
 def document_grams(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, t1, t2, t3, t4, n): the distinct 4-grams of each document as word hashes; 0 stands before the text."""
+    """(doc, t1 to t4, n, b4, k40, k41, k42): the distinct 4-grams of each document as word hashes, with counts; 0 stands before the text."""
     ship(docs.sparkSession)
+    names = ["doc", "t1", "t2", "t3", "t4", "n", "b4", "k40", "k41", "k42"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
@@ -76,7 +91,7 @@ def document_grams(docs: DataFrame, key: str, text: str) -> DataFrame:
         codes: dict[str, int] = {}
         for whole in batches:
             for b in slices(whole, "text"):
-                ids, grams, counts = [], [], []
+                ids, parts = [], []
                 for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     row = []
                     for w in words(t):
@@ -86,18 +101,15 @@ def document_grams(docs: DataFrame, key: str, text: str) -> DataFrame:
                             c = codes[w] = (zlib.crc32(w.encode()) or 1) - (1 << 31)
                         row.append(c)
                     if row:
-                        padded = np.array([0] * (ORDER - 1) + row, "int64").astype("int32")
-                        all_ = np.lib.stride_tricks.sliding_window_view(padded, ORDER)
-                        distinct, n = np.unique(all_, axis=0, return_counts=True) if len(row) > 1 else (all_, np.ones(1, "int64"))
-                        grams.append(distinct)
-                        counts.append(n)
-                        ids.append(np.full(len(n), doc, "int64"))
+                        parts.append(_counted(row))
+                        ids.append(np.full(len(parts[-1][1]), doc, "int64"))
                 if ids:
-                    g = np.ascontiguousarray(np.concatenate(grams).T)
-                    columns = [pa.array(np.concatenate(ids)), *(pa.array(x) for x in g), pa.array(np.concatenate(counts).astype("int32"))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc", "t1", "t2", "t3", "t4", "n"])
+                    grams = np.ascontiguousarray(np.concatenate([p[0] for p in parts]).T)
+                    rest = [np.concatenate([p[i] for p in parts]) for i in range(1, 6)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(ids), *grams, *rest)], names=names)
 
-    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).dropna().mapInArrow(run, "doc long, t1 int, t2 int, t3 int, t4 int, n int")
+    schema = "doc long, " + ", ".join(f"{c} int" for c in names[1:])
+    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).dropna().mapInArrow(run, schema)
 
 
 def _discounts(counts: dict[int, int]) -> list[float]:
@@ -139,7 +151,7 @@ def lower_orders(grams: DataFrame) -> DataFrame:
 
 
 def perplexities(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, perplexity) of every document with a word, under the model counted over all of them."""
+    """(doc, perplexity) of every document with a word, under the model with its own highest order."""
     spark = docs.sparkSession
     where = scratch(spark, "grams")
     document_grams(docs, key, text).write.parquet(f"{where}/documents")
@@ -147,23 +159,21 @@ def perplexities(docs: DataFrame, key: str, text: str) -> DataFrame:
     with_p2 = grams.join(lower_orders(grams), ["t3", "t4"]).repartition("t2", "t3")
     run = ["t2", "t3", "t4", "t1"]
     over = lambda keys, order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    numbered = lambda keys, order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
-    counted = with_p2.withColumns({"c4": F.sum("n").over(over(run, ["doc"])), "f4": numbered(run, ["doc"])})
-    counted = counted.withColumns({"c3": F.sum(F.col("f4").cast("int")).over(over(run[:3], ["t1", "doc"])), "f3": numbered(run[:3], ["t1", "doc"])})
+    first = lambda keys, order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
+    counted = with_p2.withColumn("f4", first(run, ["doc"]))
+    counted = counted.withColumns({"c3": F.sum(F.col("f4").cast("int")).over(over(run[:3], ["t1", "doc"])), "f3": first(run[:3], ["t1", "doc"])})
     third = over(run[:2], ["t4", "t1", "doc"])
     counted = counted.withColumns({"b3": F.sum(F.when(F.col("f3"), F.col("c3")).otherwise(0)).over(third), **{f"k3{i}": F.sum(k).over(third) for i, k in enumerate(_kinds("c3", F.col("f3")))}})
-    fourth = over(["t2", "t3", "t1"], ["t4", "doc"])
-    counted = counted.withColumns({"b4": F.sum("n").over(fourth), **{f"k4{i}": F.sum(k).over(fourth) for i, k in enumerate(_kinds("c4", F.col("f4")))}})
-    counted.drop("t1", "t2", "t3", "t4").write.parquet(f"{where}/counts")
+    counted.drop("t1", "t2", "t3", "t4", "f4").write.parquet(f"{where}/counts")
     table = spark.read.parquet(f"{where}/counts")
-    d3, d4 = _discounts(_count_of_counts(table.filter("f3"), "c3")), _discounts(_count_of_counts(table.filter("f4"), "c4"))
+    d3, d4 = _discounts(_count_of_counts(table.filter("f3"), "c3")), _discounts(_count_of_counts(table, "n"))
     p3 = _probability(F.col("c3"), F.col("b3"), [F.col(f"k3{i}") for i in range(3)], d3, F.col("p2"))
-    p4 = _probability(F.col("c4"), F.col("b4"), [F.col(f"k4{i}") for i in range(3)], d4, p3)
+    p4 = _probability(F.col("n"), F.col("b4"), [F.col(f"k4{i}") for i in range(3)], d4, p3)
     scored = table.select("doc", "n", F.log(p4).alias("lp")).groupBy("doc").agg(F.sum(F.col("n") * F.col("lp")).alias("s"), F.sum("n").alias("words"))
     return scored.select("doc", F.exp(-F.col("s") / F.col("words")).alias("perplexity"))
 
 
-def banded(docs: DataFrame, key: str, text: str, language: str, low: float = 0.85, high: float = 4.0) -> DataFrame:
+def banded(docs: DataFrame, key: str, text: str, language: str, low: float = 0.75, high: float = 4.0) -> DataFrame:
     """(key, language, perplexity, band) with band ``low``, ``high`` or ``inside`` its language's band."""
     scored = perplexities(docs, key, text)
     known = cut(docs.select(F.col(key).cast("long").alias("doc"), F.col(language).alias("language")).join(scored, "doc"))

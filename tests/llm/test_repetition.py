@@ -50,40 +50,37 @@ def test_found(spark, corpus):
 
 
 def test_model_against_direct_counts(spark):
-    """Perplexities of a tiny corpus against Kneser-Ney written out over tuples."""
+    """Perplexities of a tiny corpus against Kneser-Ney written out over tuples, the highest order per document."""
     import math
-    from collections import Counter, defaultdict
+    from collections import Counter
 
-    texts = {1: "a b a b c", 2: "b a b c a", 3: "c"}
+    texts = {1: "a b a b c a b a b", 2: "b a b c a", 3: "c", 4: "a b a b a b a b a b"}
     n = 4
-    counts = [Counter() for _ in range(n + 1)]
     streams = {d: ["<s>"] * (n - 1) + t.split() for d, t in texts.items()}
-    for s in streams.values():
-        counts[n].update(tuple(s[i - n + 1 : i + 1]) for i in range(n - 1, len(s)))
+    own = {d: Counter(tuple(s[i - n + 1 : i + 1]) for i in range(n - 1, len(s))) for d, s in streams.items()}
+    counts = {n: {g: 1 for c in own.values() for g in c}}
     for k in range(n - 1, 0, -1):
-        for g in counts[k + 1]:
-            counts[k][g[1:]] += 1
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
 
-    def discounts(c):
-        m = Counter(min(x, 5) for x in c.values())
+    def discounts(values):
+        m = Counter(min(x, 5) for x in values)
         y = m[1] / (m[1] + 2 * m[2]) if m[1] + m[2] else 0.5
         return [min(0.99 * j, max(0.01, j - (j + 1) * y * m[j + 1] / m[j])) if m[j] else 0.5 * j for j in (1, 2, 3)]
 
-    d = [None, *(discounts(counts[k]) for k in range(1, n + 1))]
-    context, kinds = [defaultdict(int) for _ in range(n + 1)], [defaultdict(lambda: [0, 0, 0]) for _ in range(n + 1)]
-    for k in range(1, n + 1):
-        for g, c in counts[k].items():
-            context[k][g[:-1]] += c
-            kinds[k][g[:-1]][min(c, 3) - 1] += 1
+    def level(table, d, gram, lower):
+        same = [c for g, c in table.items() if g[:-1] == gram[:-1]]
+        freed = sum(d[min(c, 3) - 1] for c in same)
+        return max(table[gram] - d[min(table[gram], 3) - 1], 0) / sum(same) + freed / sum(same) * lower
 
-    def p(gram):
+    d = {k: discounts(counts[k].values()) for k in range(1, n)}
+    top = discounts([c for table in own.values() for c in table.values()])
+
+    def p(doc, gram):
         value = 1 / len(counts[1])
-        for k in range(1, n + 1):
-            g = gram[-k:]
-            c, h = counts[k][g], g[:-1]
-            value = max(c - d[k][min(c, 3) - 1], 0) / context[k][h] + sum(x * y for x, y in zip(d[k], kinds[k][h])) / context[k][h] * value
-        return value
+        for k in range(1, n):
+            value = level(counts[k], d[k], gram[-k:], value)
+        return level(own[doc], top, gram, value)
 
-    wanted = {doc: math.exp(-sum(math.log(p(tuple(s[i - n + 1 : i + 1]))) for i in range(n - 1, len(s))) / (len(s) - n + 1)) for doc, s in streams.items()}
+    wanted = {doc: math.exp(-sum(math.log(p(doc, tuple(s[i - n + 1 : i + 1]))) for i in range(n - 1, len(s))) / (len(s) - n + 1)) for doc, s in streams.items()}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc: r.perplexity for r in perplexities(df, "doc_id", "text").collect()} == pytest.approx(wanted)
