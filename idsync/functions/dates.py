@@ -10,10 +10,10 @@ FORMATS = ("yyyy-MM-dd", "MM-dd-yyyy", "dd-MM-yyyy", "MMM d, yyyy", "MMMM d, yyy
 
 
 def parse_date(c: Column) -> Column:
-    """The date of any accepted notation, ISO times included; null where none fits."""
+    """The date of any accepted notation, that of ISO times as written; null where none fits."""
     text = F.trim(c)
     tried = [F.try_to_timestamp(text, F.lit(f)).cast("date") for f in FORMATS]
-    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), F.try_to_timestamp(text).cast("date"))
+    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), F.try_to_timestamp(F.substring(text, 1, 10), F.lit("yyyy-MM-dd")).cast("date"))
     return F.coalesce(*tried, iso)
 
 
