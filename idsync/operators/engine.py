@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from idsync.functions.dates import parse_date, shift_date, swap_month_day
 from idsync.functions.text import normalize
 from idsync.operators.content import POS, Content, ContractError
-from idsync.operators.matchers import match_players, match_teams
+from idsync.operators.matchers import PlayerLayer, Similarity, apply_layer, match_players, match_teams, pairs_of
 from idsync.runtime import cut, ship
 
 log = logging.getLogger("idsync")
@@ -34,8 +34,11 @@ class SyncEngine:
     """Common frame; a subclass says how two providers are paired."""
 
     object_type: str = ""
+    texts: tuple[str, ...] = ()
+    columns: tuple[str, ...] = ()
 
-    def __init__(self, content: list[Content], join_columns: list[str], object_type: str | None = None):
+    def __init__(self, content: list[Content], join_columns: list[str], object_type: str | None = None, verbose: bool = False):
+        self.verbose = verbose
         self.object_type = object_type or self.object_type
         if not isinstance(content, list) or not content:
             raise ContractError("content must be a list with at least one element")
@@ -49,9 +52,54 @@ class SyncEngine:
             raise ContractError("all contents must have the same block columns")
         self.content, self.join_columns, self.block = content, join_columns, list(content[0].block)
 
+    def say(self, message: str) -> None:
+        """Log a step of the plan; counting rows for a log would run it."""
+        log.log(logging.INFO if self.verbose else logging.DEBUG, "%s: %s", self.object_type, message)
+
     def synchronize_pair(self, a: Content, b: Content) -> Content:
+        """A subclass pairs two contents here."""
         raise NotImplementedError
 
+    def similar_pairs(self, a: Content, b: Content, fields: tuple[str, str], method: Similarity = Similarity.COSINE, threshold: float = 0.75) -> DataFrame:
+        """(block, id a, id b) by one method on one text column of either side; assignment and greedy choice are per block."""
+        if len(fields) != 2:
+            raise ContractError("fields must name one column of either side")
+        for c, f in zip((a, b), fields):
+            if f not in c.data.columns:
+                raise ContractError(f"content of {c.provider} has no column {f}")
+        named = [c.with_data(c.data.withColumn("_text", F.col(f))) for c, f in zip((a, b), fields)]
+        self.say(f"{method.value} similarity of {a.provider} and {b.provider} on {fields}")
+
+        def run(x: pd.DataFrame, y: pd.DataFrame) -> list[tuple[str, str]]:
+            return pairs_of(x, y, ("_text", "_text"), method, threshold)
+
+        return self._kernel_pairs(*named, run, {}, ("_text",), ("_text",))
+
+    def _prepared(self, c: Content, extra: dict, texts: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:
+        names = {n: F.col(n) if n in c.data.columns else F.lit(None).cast("string") for n in columns}
+        cells = {**names, **{f"n_{t}": normalize(names[t]) for t in texts}, **{k: f(names) for k, f in extra.items()}}
+        blocks = [F.concat(F.col(k)).alias(k) for k in self.block] or [F.lit(0).alias("_one")]  # new columns on either side, as both may come from one table
+        return c.data.select(*blocks, F.col(c.id_field).alias("id"), F.col(POS).alias(POS), *(v.alias(k) for k, v in cells.items())).dropna(subset=["id"])
+
+    def _kernel_pairs(self, a: Content, b: Content, run, extra: dict, texts: tuple[str, ...] | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
+        """(block, id a, id b) from ``run(left, right)`` on each block's rows in order."""
+        ship(a.data.sparkSession)
+        left, right = (self._prepared(c, extra, texts or self.texts, columns or self.columns) for c in (a, b))
+        keys = self.block or ["_one"]
+        schema = ", ".join([f"`{k}` {left.schema[k].dataType.simpleString()}" for k in keys] + [f"`{a.id_field}` string", f"`{b.id_field}` string"])
+
+        names = [*keys, a.id_field, b.id_field]
+
+        def both(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            if not len(x) or not len(y):  # an absent side comes without columns
+                return pd.DataFrame([], columns=names)
+            block = x[keys].iloc[0].tolist()
+            x, y = (d.sort_values(POS, kind="stable").astype(object).where(lambda f: f.notna(), None).reset_index(drop=True) for d in (x, y))
+            return pd.DataFrame([(*block, i, j) for i, j in run(x, y)], columns=names)
+
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(both, schema)
+        return cut(found.select(*self.block, a.id_field, b.id_field))
+
     def _or_other(self, paired: DataFrame, a: Content, b: Content) -> DataFrame:
         """Where a block has no row of ``a``, the rows of ``b`` stand in."""
         if self.block:
@@ -63,7 +111,10 @@ class SyncEngine:
         return paired.unionByName(rest, allowMissingColumns=True)
 
     def synchronize_all_combinations(self, content: list[Content] | None = None) -> Content:
-        pairs = [self.synchronize_pair(a, b) for a, b in combinations(content or self.content, 2)]
+        pairs = []
+        for a, b in combinations(content or self.content, 2):
+            self.say(f"pair {a.provider} and {b.provider}")
+            pairs.append(self.synchronize_pair(a, b))
         return reduce(lambda x, y: x.merge(y), pairs[1:], pairs[0])
 
     def _unsynced(self, c: Content, synced: DataFrame) -> DataFrame:
@@ -122,10 +173,10 @@ class MatchSyncEngine(SyncEngine):
 
     object_type = "match"
 
-    def __init__(self, content: list[Content], use_competition_context: bool = False, date_window: str = "observed"):
+    def __init__(self, content: list[Content], use_competition_context: bool = False, verbose: bool = False, date_window: str = "observed"):
         context = ["competition_id", "season_id"] if use_competition_context else []
         self.teams = [*context, "home_team_id", "away_team_id"]
-        super().__init__(content, ["match_date", *self.teams])
+        super().__init__(content, ["match_date", *self.teams], verbose=verbose)
         _need(content, context)
         self.days = WINDOWS[date_window]
 
@@ -160,47 +211,15 @@ class MatchSyncEngine(SyncEngine):
         return a.with_data(self._or_other(paired, a, b))
 
 
-class _KernelEngine(SyncEngine):
-    """Engines whose pairs come from a kernel per block."""
-
-    texts: tuple[str, ...] = ()
-    columns: tuple[str, ...] = ()
-
-    def _prepared(self, c: Content, extra: dict) -> DataFrame:
-        names = {n: F.col(n) if n in c.data.columns else F.lit(None).cast("string") for n in self.columns}
-        cells = {**names, **{f"n_{t}": normalize(names[t]) for t in self.texts}, **{k: f(names) for k, f in extra.items()}}
-        blocks = [F.concat(F.col(k)).alias(k) for k in self.block] or [F.lit(0).alias("_one")]  # new columns on either side, as both may come from one table
-        return c.data.select(*blocks, F.col(c.id_field).alias("id"), F.col(POS).alias(POS), *(v.alias(k) for k, v in cells.items())).dropna(subset=["id"])
-
-    def _kernel_pairs(self, a: Content, b: Content, run, extra: dict) -> DataFrame:
-        """(block, id a, id b) from ``run(left, right)`` on each block's rows in order."""
-        ship(a.data.sparkSession)
-        left, right = self._prepared(a, extra), self._prepared(b, extra)
-        keys = self.block or ["_one"]
-        schema = ", ".join([f"`{k}` {left.schema[k].dataType.simpleString()}" for k in keys] + [f"`{a.id_field}` string", f"`{b.id_field}` string"])
-
-        names = [*keys, a.id_field, b.id_field]
-
-        def both(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            if not len(x) or not len(y):  # an absent side comes without columns
-                return pd.DataFrame([], columns=names)
-            block = x[keys].iloc[0].tolist()
-            x, y = (d.sort_values(POS, kind="stable").astype(object).where(lambda f: f.notna(), None).reset_index(drop=True) for d in (x, y))
-            return pd.DataFrame([(*block, i, j) for i, j in run(x, y)], columns=names)
-
-        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(both, schema)
-        return cut(found.select(*self.block, a.id_field, b.id_field))
-
-
-class TeamSyncEngine(_KernelEngine):
+class TeamSyncEngine(SyncEngine):
     """Teams by equal name, then by the best assignment of similar names, then of all that is left."""
 
     object_type = "team"
     texts = columns = ("team_name",)
 
-    def __init__(self, content: list[Content], use_competition_context: bool = False):
+    def __init__(self, content: list[Content], use_competition_context: bool = False, verbose: bool = False):
         context = ["competition_id", "season_id"] if use_competition_context else []
-        super().__init__(content, ["team_name", *context])
+        super().__init__(content, ["team_name", *context], verbose=verbose)
         _need(content, context)
 
     def synchronize_pair(self, a: Content, b: Content) -> Content:
@@ -212,15 +231,21 @@ class TeamSyncEngine(_KernelEngine):
         return a.with_data(self._or_other(own.join(pairs, [*self.block, a.id_field], "left"), a, b))
 
 
-class PlayerSyncEngine(_KernelEngine):
+class PlayerSyncEngine(SyncEngine):
     """Players by up to 26 layers of name similarity with shirt, team and birth date."""
 
     object_type = "player"
     texts = ("player_name", "player_nickname")
     columns = ("player_name", "player_nickname", "jersey_number", "team_id", "birth_date")
 
-    def __init__(self, content: list[Content]):
-        super().__init__(content, ["jersey_number", "team_id", "player_name"])
+    def __init__(self, content: list[Content], verbose: bool = False):
+        super().__init__(content, ["jersey_number", "team_id", "player_name"], verbose=verbose)
+
+    def pairs_by_layer(self, a: Content, b: Content, layer: PlayerLayer) -> DataFrame:
+        """(block, id a, id b) of one strategy, with its attribute checks and unique on both sides."""
+        self.say(f"layer {layer.title} on {a.provider} and {b.provider}")
+        shifts = {-1, 0} | ({layer.date_shift} if layer.date_shift is not None else set())
+        return self._kernel_pairs(a, b, lambda x, y: apply_layer(x, y, layer), _shifted(shifts))
 
     def _keys(self) -> DataFrame:
         """A key column counts in a block if every provider there has it in every row."""
@@ -229,7 +254,7 @@ class PlayerSyncEngine(_KernelEngine):
 
     def synchronize_pair(self, a: Content, b: Content) -> Content:
         keys = self._keys().withColumnRenamed("_use_jersey_number", "_jersey").select(*self.block, "_jersey")
-        extra = {f"b{d}": lambda n, d=d: shift_date(n["birth_date"], d) for d in (-1, 0)} | {f"s{d}": lambda n, d=d: swap_month_day(n["birth_date"], d) for d in (-1, 0)}
+        extra = _shifted({-1, 0})
         if self.block:
             flagged = a.with_data(a.data.join(keys, self.block))
             extra["_jersey"] = lambda n: F.col("_jersey")
@@ -243,6 +268,12 @@ class PlayerSyncEngine(_KernelEngine):
         return a.with_data(a.data.select(*kept).join(pairs, [*self.block, a.id_field]))
 
 
+def _shifted(days: set[int]) -> dict:
+    """Columns of the shifted birth dates, plain and with month and day swapped."""
+    plain = {f"b{d}": lambda n, d=d: shift_date(n["birth_date"], d) for d in sorted(days)}
+    return plain | {f"s{d}": lambda n, d=d: swap_month_day(n["birth_date"], d) for d in sorted(days)}
+
+
 def _players(left: pd.DataFrame, right: pd.DataFrame) -> list[tuple[str, str]]:
     return match_players(left, right, bool(left["_jersey"].iloc[0]))
 

@@ -116,6 +116,15 @@ def cosine_match(left: list[Row], right: list[Row], threshold: float, agree: tup
     return [(r[0], partners[best[r[1]][0][1]]) for r in left if r[1] is not None and r[1] in best]
 
 
+def similarity_table(left: list[Row], right: list[Row]) -> list[tuple]:
+    """(text 1, normal form 1, text 2, normal form 2, cosine) of the optimal assignment, in the order of the right side."""
+    a, b = [r for r in left if r[1] is not None], [r for r in right if r[1] is not None]
+    if not a or not b:
+        raise ValueError("both sides need a text that is not null")
+    matrix = cosine_matrix([r[2] for r in a], [r[2] for r in b])
+    return [(a[j][1], a[j][2], b[i][1], b[i][2], float(matrix[i, j])) for i, j in enumerate(assign(matrix)) if j >= 0]
+
+
 def naive_match(left: list[Row], right: list[Row]) -> list[tuple[str, str]]:
     """Equal normalised texts first, then one token set within the other; each text serves once."""
     first = lambda rows: {t: i for i, _, t in reversed([r for r in rows if r[1] is not None])}

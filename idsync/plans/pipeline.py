@@ -86,3 +86,20 @@ def crosswalk_metrics(crosswalk: DataFrame, metrics: list[tuple[DataFrame, str,
     for df, provider_id, metric in metrics:
         out = out.join(df.groupBy(provider_id).agg(F.sum(metric).alias(metric)), provider_id, "left")
     return out
+
+
+def outer_metrics(frames: list[DataFrame], key: str, order: list[str]) -> DataFrame:
+    """Full outer join of metric tables on the crosswalk key, largest metrics first."""
+    joined = reduce(lambda a, b: a.join(b, key, "outer"), frames)
+    return joined.orderBy(*(F.desc(c) for c in order), key)
+
+
+def recode(value: Column, codes: dict, default=None) -> Column:
+    """A code for each known value, else the default."""
+    return reduce(lambda c, item: c.when(value == F.lit(item[0]), F.lit(item[1])), list(codes.items())[1:], F.when(value == F.lit(next(iter(codes))), F.lit(codes[next(iter(codes))]))).otherwise(F.lit(default))
+
+
+def extract(provider: DataFrame, lookups: list[tuple[DataFrame, str, str]], columns: list[str]) -> DataFrame:
+    """A provider's rows with the unified ids of the objects they refer to: inner joins (lookup, provider's id, unified id)."""
+    out = reduce(lambda df, x: df.join(x[0].select(x[1], x[2]).dropna(), x[1]), lookups, provider)
+    return out.select(*columns)

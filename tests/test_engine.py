@@ -137,6 +137,28 @@ def test_players_in_blocks_with_a_provider_missing(spark):
     assert sorted((r.game, r.a_player_id, r.b_player_id, r.c_player_id) for r in got.data.collect()) == [("g", "a0", "b0", "c0"), ("h", "a1", None, "c1"), ("i", None, "b1", "c2")]
 
 
+def test_methods_on_any_object(spark):
+    schema = "{p}_object_id string, object_name string, _row long"
+    a = content(spark, "object", "a", [("1", "Alpha Rovers"), ("2", "Gamma United"), ("3", None)], schema)
+    b = content(spark, "object", "b", [("4", "Gamma Untied"), ("5", "Rovers"), ("6", None)], schema)
+    engine = SyncEngine([a, b], ["object_name"], "object", verbose=True)
+    run = lambda m, t=0.75: sorted(tuple(r) for r in engine.similar_pairs(a, b, ("object_name", "object_name"), m, t).collect())
+    assert run(Similarity.COSINE, 0.3) == [("1", "5"), ("2", "4")]
+    assert run(Similarity.NAIVE) == [("1", "5")] and run(Similarity.FUZZY, 0.91) == [("2", "4")]
+    for bad in (("object_name",), ("x", "object_name"), ("object_name", "x")):
+        with pytest.raises(ContractError):
+            engine.similar_pairs(a, b, bad)
+
+
+def test_one_layer(spark):
+    a = players(spark, "a", [("Ann Lee", None, "t", "1", "1990-05-04"), ("Bo Ray", None, "t", "2", "1990-01-02")])
+    b = players(spark, "b", [("Ann Lee", None, "t", "9", "1990-05-03"), ("Bo Ray", None, "t", "8", "1990-02-01")])
+    engine = PlayerSyncEngine([a, b])
+    run = lambda **k: sorted(tuple(r) for r in engine.pairs_by_layer(a, b, PlayerLayer("x", **k)).collect())
+    assert run() == [] and run(date_shift=-1) == [("a0", "b0")] and run(swap_month_day=True) == [("a1", "b1")] and run(date_shift=-3) == []
+    assert run(date_shift=None, equal=("team_id",)) == [("a0", "b0"), ("a1", "b1")] and run(date_shift=None, equal=("jersey_number",)) == []
+
+
 def test_default_layers():
     assert len(player_layers(True, True)) == 26 and len(player_layers(False, True)) == 10
     assert player_layers(False, False)[-1].equal == ("team_id",)

@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from idsync.operators.kernels import assign, cosine_match, fuzzy_match, indel_ratio, naive_match, weighted_ratio
+from idsync.operators.kernels import assign, cosine_match, fuzzy_match, indel_ratio, naive_match, similarity_table, weighted_ratio
 
 
 @settings(max_examples=150, deadline=None)
@@ -34,6 +34,11 @@ def test_cosine_match():
     assert repeated[0] == ("a0", "b0")
 
 
+def test_similarity_table():
+    table = similarity_table(rows("a", ["Alpha City", "Beta Town"]), rows("b", ["Beta Towne", None, "Alpha City"]))
+    assert [(r[0], r[2]) for r in table] == [("Beta Town", "Beta Towne"), ("Alpha City", "Alpha City")] and abs(table[1][4] - 1) < 1e-9
+
+
 def naive_by_loops(a, b):
     used, out = {}, []
     for i, raw, t in a:

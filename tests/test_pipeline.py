@@ -76,3 +76,12 @@ def test_incremental_table(spark, tmp_path):
     table = IncrementalTable(spark, start, "k", "at")
     assert rows(table.drain(stream)) == [(1, "x", 1), (2, "new", 3), (3, "z", 1)]
     assert rows(latest(start, "k", "at")) == [(1, "x", 1), (2, "y", 1)]
+
+
+def test_metrics_recode_extract(spark):
+    one, two = spark.createDataFrame([(1, 2.0), (2, 5.0)], "k int, x double"), spark.createDataFrame([(2, 1.0), (3, 4.0)], "k int, y double")
+    assert [r.k for r in pipeline.outer_metrics([one, two], "k", ["x", "y"]).collect()] == [2, 1, 3]
+    assert rows(one.select(pipeline.recode(F.col("k"), {1: "a"}, "z").alias("c"))) == [("a",), ("z",)]
+    teams = spark.createDataFrame([("h", "T1"), (None, "T2")], "home string, home_team_id string")
+    matches = spark.createDataFrame([("m1", "h"), ("m2", "g"), ("m3", None)], "m string, home string")
+    assert rows(pipeline.extract(matches, [(teams, "home", "home_team_id")], ["m", "home_team_id"])) == [("m1", "T1")]
