@@ -1,7 +1,7 @@
 """Variant spellings of names of people and teams, linked inside blocks.
 
 Candidates come from a prefix-filtered set-similarity join: every spelling is the set of
-q-grams of its tokens in one fixed order; two sets that share the fraction ``overlap`` of
+q-grams of its tokens, from the rarest on; two sets that share the fraction ``overlap`` of
 the smaller one must share a gram of the smaller one's prefix, so only prefixes are joined
 with full sets, keyed by block and gram, and the pairs found are held to the overlap. Verification is a soft weighted token
 similarity: tokens are paired one to one by equality, initial, short form, spelling
@@ -12,7 +12,8 @@ shirt number, country) add to or take from a pair's score. Two ids of one source
 in a block are taken for different things. Per unit and other source only mutual best
 pairs count, and links through a third source are followed once.
 
-Nothing is capped: a frequent gram only costs join rows inside its block.
+Nothing is capped: a frequent gram only costs join rows inside its block, where prefixes
+seldom reach it.
 
 Defined results: null or empty names link nothing; repeated rows are units of one id;
 pairs that look alike (equal canonical forms) are left out; missing attributes are neutral.
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -183,6 +185,20 @@ def _grams(tokens: Column, q: int) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(cuts)))
 
 
+BUCKETS = 1 << 16
+
+
+def rarest_first(units: DataFrame, grams: str = "grams") -> Column:
+    """``grams`` from the rarest on. Frequencies are counted over all units in a fixed number of hash buckets, so they fit the plan at any size."""
+    bucket = lambda g: F.pmod(g, F.lit(BUCKETS)).cast("int")
+    counts = np.zeros(BUCKETS, "int64")
+    for r in units.select(F.explode(grams).alias("g")).groupBy(bucket(F.col("g")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r.b] = r.n
+    level = F.lit(np.minimum(8 * np.log2(1 + counts), 255).astype("uint8").tobytes())  # one byte per bucket
+    order = F.transform(grams, lambda g: F.struct(F.substring(level, bucket(g) + 1, F.lit(1)).alias("n"), g.alias("g")))
+    return F.transform(F.array_sort(order), lambda x: x.g)
+
+
 def _least_shared(size: Column, overlap: float) -> Column:
     return F.ceil(size * overlap - 1e-9)
 
@@ -190,9 +206,9 @@ def _least_shared(size: Column, overlap: float) -> Column:
 def candidates(units: DataFrame, blocks: list[str], overlap: float) -> DataFrame:
     """(i, j): units of one block, of different sources, that may share ``overlap`` of the smaller gram set.
 
-    ``units`` has uid, source, grams and the block columns. Any fixed order of grams makes the
-    prefix of the smaller set meet the larger set; that of the hashes needs no counts. A gram
-    is joined inside its block only.
+    ``units`` has uid, source, grams and the block columns. Any order of grams that is the same
+    in all sets makes the prefix of the smaller set meet the larger set; from the rarest on,
+    few rows meet, also in a block of very many. A gram is joined inside its block only.
     """
     size = F.size("grams")
     base = units.select(*blocks, "uid", "source", size.alias("size"), "grams")
@@ -273,7 +289,7 @@ def link_variants(
     units = base.groupBy(*node, "form", "tokens", "nick").agg(F.min("id").alias("uid"), *(F.min(m).alias(m) for m in marks))
     own = F.min("uid").over(Window.partitionBy(*node))
     units = cut(units.withColumns({"nid": own, "grams": _grams(F.col("tokens"), q)}))
-    found = candidates(units, blocks, overlap)
+    found = candidates(units.withColumn("grams", rarest_first(units)), blocks, overlap)
     ids = units.select("uid", "nid", "source")
     scored = score_pairs(found, units, weights, overlap).filter(F.col("score") >= weights.accept)
     named = scored.join(ids.select(F.col("uid").alias("i"), F.col("nid").alias("a"), F.col("source").alias("sa")), "i")
