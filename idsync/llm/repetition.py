@@ -8,10 +8,10 @@ rejected. As language labels may be wrong, the lower limit of a language is neve
 of the corpus as a whole.
 
 The n-grams of a document are reduced to distinct ones with their counts, and those of their
-contexts, before anything moves. They are then partitioned by their two middle words and
-sorted, so the counts of order 3 and of its contexts are runs of one sorted hash array per
-partition, read off by windows without another shuffle. Orders 2 and 1 come from the
-distinct trigrams.
+contexts, before anything moves. The lower orders are counted on distinct n-grams, combined
+before the shuffle, so copies of a text add nothing to them, and are kept as a table of
+sorted word hashes. Documents meet it in one equi-join, where a hot n-gram is only hot on the
+side of the documents and adaptive execution splits it.
 
 The share of repeated content is then measured exactly on the rejected documents: letters
 that lie in a second or later copy of a passage of 20 letters or more.
@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,14 +130,13 @@ def _probability(count: Column, total: Column, kinds: list[Column], d: list[floa
     return F.greatest(count - off, F.lit(0.0)) / total + freed / total * lower
 
 
-def _kinds(count: str, first: Column | None = None) -> list[Column]:
-    hit = lambda c: F.when(c if first is None else c & first, 1).otherwise(0)
+def _kinds(count: str) -> list[Column]:
+    hit = lambda c: F.when(c, 1).otherwise(0)
     return [hit(F.col(count) == 1), hit(F.col(count) == 2), hit(F.col(count) >= 3)]
 
 
-def lower_orders(grams: DataFrame) -> DataFrame:
-    """(t3, t4, p2): the bigram probabilities by continuation counts."""
-    triples = grams.select("t2", "t3", "t4").distinct()
+def bigram_probabilities(triples: DataFrame) -> DataFrame:
+    """(t3, t4, p2) by continuation counts; ``triples`` has each trigram t2, t3, t4 once."""
     two = cut(triples.groupBy("t3", "t4").agg(F.count(F.lit(1)).alias("c2")))
     one = cut(two.groupBy("t4").agg(F.count(F.lit(1)).alias("c1")))
     d1, d2 = _discounts(_count_of_counts(one, "c1")), _discounts(_count_of_counts(two, "c2"))
@@ -150,26 +149,26 @@ def lower_orders(grams: DataFrame) -> DataFrame:
     return all_.select("t3", "t4", _probability(F.col("c2"), F.col("b2"), [F.col(f"k{i}") for i in range(3)], d2, F.col("p1")).alias("p2"))
 
 
+def trigram_probabilities(triples: DataFrame) -> DataFrame:
+    """(t2, t3, t4, p3) by continuation counts ``c3``."""
+    d3 = _discounts(_count_of_counts(triples, "c3"))
+    context = triples.groupBy("t2", "t3").agg(F.sum("c3").alias("b3"), *(F.sum(k).alias(f"k{i}") for i, k in enumerate(_kinds("c3"))))
+    all_ = triples.join(context, ["t2", "t3"]).join(bigram_probabilities(triples), ["t3", "t4"])
+    return all_.select("t2", "t3", "t4", _probability(F.col("c3"), F.col("b3"), [F.col(f"k{i}") for i in range(3)], d3, F.col("p2")).alias("p3"))
+
+
 def perplexities(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, perplexity) of every document with a word, under the model with its own highest order."""
     spark = docs.sparkSession
     where = scratch(spark, "grams")
     document_grams(docs, key, text).write.parquet(f"{where}/documents")
     grams = spark.read.parquet(f"{where}/documents")
-    with_p2 = grams.join(lower_orders(grams), ["t3", "t4"]).repartition("t2", "t3")
-    run = ["t2", "t3", "t4", "t1"]
-    over = lambda keys, order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = lambda keys, order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
-    counted = with_p2.withColumn("f4", first(run, ["doc"]))
-    counted = counted.withColumns({"c3": F.sum(F.col("f4").cast("int")).over(over(run[:3], ["t1", "doc"])), "f3": first(run[:3], ["t1", "doc"])})
-    third = over(run[:2], ["t4", "t1", "doc"])
-    counted = counted.withColumns({"b3": F.sum(F.when(F.col("f3"), F.col("c3")).otherwise(0)).over(third), **{f"k3{i}": F.sum(k).over(third) for i, k in enumerate(_kinds("c3", F.col("f3")))}})
-    counted.drop("t1", "t2", "t3", "t4", "f4").write.parquet(f"{where}/counts")
-    table = spark.read.parquet(f"{where}/counts")
-    d3, d4 = _discounts(_count_of_counts(table.filter("f3"), "c3")), _discounts(_count_of_counts(table, "n"))
-    p3 = _probability(F.col("c3"), F.col("b3"), [F.col(f"k3{i}") for i in range(3)], d3, F.col("p2"))
-    p4 = _probability(F.col("n"), F.col("b4"), [F.col(f"k4{i}") for i in range(3)], d4, p3)
-    scored = table.select("doc", "n", F.log(p4).alias("lp")).groupBy("doc").agg(F.sum(F.col("n") * F.col("lp")).alias("s"), F.sum("n").alias("words"))
+    types = grams.select("t1", "t2", "t3", "t4").distinct()
+    types.groupBy("t2", "t3", "t4").agg(F.count(F.lit(1)).alias("c3")).sortWithinPartitions("t2", "t3", "t4").write.parquet(f"{where}/triples")
+    d4 = _discounts(_count_of_counts(grams, "n"))
+    p4 = _probability(F.col("n"), F.col("b4"), [F.col(f"k4{i}") for i in range(3)], d4, F.col("p3"))
+    scored = grams.drop("t1").join(trigram_probabilities(spark.read.parquet(f"{where}/triples")), ["t2", "t3", "t4"])
+    scored = scored.select("doc", "n", F.log(p4).alias("lp")).groupBy("doc").agg(F.sum(F.col("n") * F.col("lp")).alias("s"), F.sum("n").alias("words"))
     return scored.select("doc", F.exp(-F.col("s") / F.col("words")).alias("perplexity"))
 
 
