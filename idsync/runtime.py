@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
 import uuid
 import zipfile
@@ -42,14 +42,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that don't share the driver's path."""
+    """Make this package importable in Python workers that don't share the driver's path, by way of the shared folder."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
-    root = Path(__file__).resolve().parent
-    target = os.path.join(tempfile.mkdtemp(prefix="idsync-code-"), "idsync_code.zip")
-    with zipfile.ZipFile(target, "w") as z:
+    root, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
+    target = f"{scratch(spark, 'code')}/idsync_code.zip"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    out.write(packed.getvalue())
+    out.close()
     spark.sparkContext.addPyFile(target)
     _SHIPPED.add(app)
