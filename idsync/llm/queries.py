@@ -51,7 +51,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     players = players.withColumns({"form": canonical.form("player_name"), "nick": canonical.form("player_nickname")})
     people = link_variants(
         players, key="record_id", blocks=["match_id", "team_id"], source="data_provider", source_id="provider_player_id", form="form", nickname="nick",
-        evidence=["birth", "jersey_number"], weights=PEOPLE,
+        evidence=["birth", "jersey_number"], weights=PEOPLE, exact=("birth", "jersey_number"),
     )
     clubs = link_variants(
         teams.withColumn("form", canonical.form("team_name")), key="record_id", blocks=["competition_id", "season_id", "team_gender", "team_age_group"], source="data_provider",

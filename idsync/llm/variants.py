@@ -3,8 +3,10 @@
 Candidates come from a prefix-filtered set-similarity join: every spelling is the set of
 q-grams of its tokens, from the rarest on; two sets that share the fraction ``overlap`` of
 the smaller one must share a gram of the smaller one's prefix, so only prefixes are joined
-with full sets, keyed by block and gram, and the pairs found are held to the overlap. Verification is a soft weighted token
-similarity: tokens are paired one to one by equality, initial, short form, spelling
+with full sets, keyed by block and gram, and the pairs found are held to the overlap. Short names
+with an initial or a slip may share no gram at all, so the attributes named in ``exact`` are second
+keys: units of one block with an equal value are candidates whatever their grams. Verification is a
+soft weighted token similarity: tokens are paired one to one by equality, initial, short form, spelling
 habits or edit distance, and weigh by the log of their rarity among all spellings.
 
 A source's records of one id are one unit of evidence; supporting attributes (birth date,
@@ -25,7 +27,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -220,6 +222,15 @@ def candidates(units: DataFrame, blocks: list[str], overlap: float) -> DataFrame
     return pairs.select(F.least("uid1", "uid2").alias("i"), F.greatest("uid1", "uid2").alias("j")).distinct()
 
 
+def equal_marks(units: DataFrame, blocks: list[str], marks: list[str]) -> DataFrame:
+    """(i, j): units of one block, of different sources, with an equal value in one of ``marks``; null equals nothing."""
+    values = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(m).alias("v")) for k, m in enumerate(marks)))).alias("x")
+    rows = units.select(*blocks, "uid", "source", values).select(*blocks, "uid", "source", "x.k", "x.v").filter("v is not null")
+    side = lambda n, df: df.select(*blocks, "k", "v", F.col("uid").alias(n), F.col("source").alias(f"source_{n}"))
+    pairs = side("i", rows).join(side("j", rows), [*blocks, "k", "v"]).filter("i < j and source_i <> source_j")
+    return pairs.select("i", "j").distinct()
+
+
 def _tokens(club: bool):
     @F.pandas_udf("array<string>")
     def tokens(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -251,8 +262,8 @@ def _scores(weights: Weights):
     return run, schema
 
 
-def score_pairs(pairs: DataFrame, units: DataFrame, weights: Weights, overlap: float) -> DataFrame:
-    """(i, j, score) of pairs that do share ``overlap`` of the smaller gram set: the soft weighted token similarity and the evidence of the attributes."""
+def score_pairs(pairs: DataFrame, units: DataFrame, weights: Weights, overlap: float, exact: list[str]) -> DataFrame:
+    """(i, j, score) of pairs that do share ``overlap`` of the smaller gram set or a value of ``exact``: the soft weighted token similarity and the evidence of the attributes."""
     total = units.count()
     often = units.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("often"))
     spread = units.select("uid", F.posexplode("tokens").alias("at", "token")).join(often, "token")
@@ -262,18 +273,21 @@ def score_pairs(pairs: DataFrame, units: DataFrame, weights: Weights, overlap: f
     full = cut(units.select("uid", "tokens", "nick", "grams", *marks).join(weighed, "uid").select("uid", F.col("tokens").alias("t"), F.col("x.w").alias("w"), F.col("nick").alias("n"), F.col("grams").alias("g"), *marks))
     side = lambda k, name: full.select(F.col("uid").alias(name), *(F.col(c).alias(f"{c}{k}") for c in ("t", "w", "n", "g")), *(F.col(m).alias(f"{m}_{k}") for m in marks))
     joined = pairs.join(side(1, "i"), "i").join(side(2, "j"), "j")
-    joined = joined.filter(F.size(F.array_intersect("g1", "g2")) >= _least_shared(F.least(F.size("g1"), F.size("g2")), overlap))
+    near = F.size(F.array_intersect("g1", "g2")) >= _least_shared(F.least(F.size("g1"), F.size("g2")), overlap)
+    joined = joined.filter(reduce(lambda a, m: F.coalesce(F.col(f"{m}_1") == F.col(f"{m}_2"), F.lit(False)) | a, exact, near))
     evidence = [F.when(F.col(f"{m}_1") == F.col(f"{m}_2"), 1).when(F.col(f"{m}_1").isNotNull() & F.col(f"{m}_2").isNotNull(), 0).otherwise(-1).alias(f"e{k}") for k, m in enumerate(marks)]
     run, schema = _scores(weights)
     return joined.select("i", "j", "t1", "w1", "n1", "t2", "w2", "n2", *evidence).mapInPandas(run, schema)
 
 
 def link_variants(
-    records: DataFrame, *, key: str, blocks: list[str], source: str, source_id: str, form: str, nickname: str | None, evidence: list[str], weights: Weights, q: int = 3, overlap: float = 0.3
-) -> DataFrame:
+    records: DataFrame, *, key: str, blocks: list[str], source: str, source_id: str, form: str, nickname: str | None, evidence: list[str], weights: Weights, exact: tuple[str, ...] = (),
+    q: int = 3, overlap: float = 0.25,
+) -> DataFrame:
     """(id_1, id_2): records of one block that name the same thing in forms that look different.
 
-    ``form`` holds canonical forms; ``evidence`` names attribute columns in the order of ``weights.evidence``.
+    ``form`` holds canonical forms; ``evidence`` names attribute columns in the order of ``weights.evidence``;
+    ``exact`` those of them that find candidates by themselves.
     """
     ship(records.sparkSession)
     tokens = _tokens(weights.club)
@@ -290,8 +304,11 @@ def link_variants(
     own = F.min("uid").over(Window.partitionBy(*node))
     units = cut(units.withColumns({"nid": own, "grams": _grams(F.col("tokens"), q)}))
     found = candidates(units.withColumn("grams", rarest_first(units)), blocks, overlap)
+    keys = [m for m, c in zip(marks, evidence) if c in exact]
+    if keys:
+        found = found.unionByName(equal_marks(units, blocks, keys)).distinct()
     ids = units.select("uid", "nid", "source")
-    scored = score_pairs(found, units, weights, overlap).filter(F.col("score") >= weights.accept)
+    scored = score_pairs(found, units, weights, overlap, keys).filter(F.col("score") >= weights.accept)
     named = scored.join(ids.select(F.col("uid").alias("i"), F.col("nid").alias("a"), F.col("source").alias("sa")), "i")
     named = named.join(ids.select(F.col("uid").alias("j"), F.col("nid").alias("b"), F.col("source").alias("sb")), "j")
     nodes = named.groupBy("a", "sa", "b", "sb").agg(F.max("score").alias("score"))

@@ -76,6 +76,15 @@ def test_variants(spark):
     assert link(spark, []) == []
 
 
+def test_variants_that_share_no_gram(spark):
+    """An initial and a slip leave no gram in common; the birth date or the shirt finds the pair inside its block."""
+    rows = [(1, "m", "x", "1", "Dong-hwa Tak", None, "1990-01-01", None), (2, "m", "y", "1", "D. Tk", None, "1990-01-01", None), (3, "n", "x", "1", "Dong-hwa Tak", None, None, "7"), (4, "n", "y", "1", "D. Tk", None, None, "7"), (5, "o", "y", "1", "D. Tk", None, "1990-01-01", "7")]
+    schema = "rid long, m string, src string, pid string, form string, nick string, b string, j string"
+    df = spark.createDataFrame(rows, schema)
+    link = lambda **more: sorted(tuple(r) for r in link_variants(df, key="rid", blocks=["m"], source="src", source_id="pid", form="form", nickname="nick", evidence=["b", "j"], weights=PEOPLE, **more).collect())
+    assert link(exact=("b", "j")) == [(1, 2), (3, 4)] and link(exact=("b",)) == [(1, 2)]
+
+
 def test_clubs(spark):
     rows = [(1, "m", "x", "1", "FC Racing Town", None, "A", "K"), (2, "m", "y", "1", "Racing Town", None, "A", "K"), (3, "m", "y", "2", "AC Dynamo Town", None, "B", "L"), (4, "m", "x", "2", "Dynamo Town (AC)", None, "B", "L")]
     assert link(spark, rows, CLUBS) == [(1, 2), (3, 4)]
