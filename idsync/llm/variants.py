@@ -3,7 +3,8 @@
 Candidates come from a prefix-filtered set-similarity join: every spelling is the set of
 q-grams of its tokens, from the rarest on; two sets that share the fraction ``overlap`` of
 the smaller one must share a gram of the smaller one's prefix, so only prefixes are joined
-with full sets, keyed by block and gram, and the pairs found are held to the overlap. Short names
+with full sets, keyed by block and gram, and the pairs found are held to the overlap. A
+nickname is a second set of its unit in the same join; the best overlap of name and nickname counts. Short names
 with an initial or a slip may share no gram at all, so the attributes named in ``exact`` are second
 keys: units of one block with an equal value are candidates whatever their grams. Verification is a
 soft weighted token similarity: tokens are paired one to one by equality, initial, short form, spelling
@@ -208,7 +209,7 @@ def _least_shared(size: Column, overlap: float) -> Column:
 def candidates(units: DataFrame, blocks: list[str], overlap: float) -> DataFrame:
     """(i, j): units of one block, of different sources, that may share ``overlap`` of the smaller gram set.
 
-    ``units`` has uid, source, grams and the block columns. Any order of grams that is the same
+    ``units`` has uid, source, grams and the block columns, a row for each set of a unit. Any order of grams that is the same
     in all sets makes the prefix of the smaller set meet the larger set; from the rarest on,
     few rows meet, also in a block of very many. A gram is joined inside its block only.
     """
@@ -251,7 +252,8 @@ def _scores(weights: Weights):
                 s, conflict = name_similarity(list(a), list(b), list(wa), list(wb), weights.club)
                 if conflict and (len(na) or len(nb)):
                     for x, y in ((na, b), (a, nb), (na, nb)):
-                        if len(x) and len(y):
+                        # one token of a nickname alone doesn't tie names that are unlike where no attribute agrees
+                        if len(x) and len(y) and (min(len(x), len(y)) > 1 or s >= weights.least or 1 in marks):
                             s2, c2 = name_similarity(list(x), list(y), [1.0] * len(x), [1.0] * len(y), weights.club)
                             if s2 - c2 > s - conflict:
                                 s, conflict = 0.95 * s2, c2
@@ -263,17 +265,18 @@ def _scores(weights: Weights):
 
 
 def score_pairs(pairs: DataFrame, units: DataFrame, weights: Weights, overlap: float, exact: list[str]) -> DataFrame:
-    """(i, j, score) of pairs that do share ``overlap`` of the smaller gram set or a value of ``exact``: the soft weighted token similarity and the evidence of the attributes."""
+    """(i, j, score) of pairs that do share ``overlap`` of the smaller gram set, of names or nicknames, or a value of ``exact``: the soft weighted token similarity and the evidence of the attributes."""
     total = units.count()
     often = units.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("often"))
     spread = units.select("uid", F.posexplode("tokens").alias("at", "token")).join(often, "token")
     weight = F.log(F.lit(1.0 + total) / F.col("often")) + 0.3
     weighed = spread.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("at", weight.cast("float").alias("w")))).alias("x"))
     marks = [f"m{k}" for k in range(len(weights.evidence))]
-    full = cut(units.select("uid", "tokens", "nick", "grams", *marks).join(weighed, "uid").select("uid", F.col("tokens").alias("t"), F.col("x.w").alias("w"), F.col("nick").alias("n"), F.col("grams").alias("g"), *marks))
-    side = lambda k, name: full.select(F.col("uid").alias(name), *(F.col(c).alias(f"{c}{k}") for c in ("t", "w", "n", "g")), *(F.col(m).alias(f"{m}_{k}") for m in marks))
+    full = cut(units.select("uid", "tokens", "nick", "grams", "nick_grams", *marks).join(weighed, "uid").select("uid", F.col("tokens").alias("t"), F.col("x.w").alias("w"), F.col("nick").alias("n"), F.col("grams").alias("g"), F.col("nick_grams").alias("h"), *marks))
+    side = lambda k, name: full.select(F.col("uid").alias(name), *(F.col(c).alias(f"{c}{k}") for c in ("t", "w", "n", "g", "h")), *(F.col(m).alias(f"{m}_{k}") for m in marks))
     joined = pairs.join(side(1, "i"), "i").join(side(2, "j"), "j")
-    near = F.size(F.array_intersect("g1", "g2")) >= _least_shared(F.least(F.size("g1"), F.size("g2")), overlap)
+    alike = lambda a, b: (F.size(a) > 0) & (F.size(b) > 0) & (F.size(F.array_intersect(a, b)) >= _least_shared(F.least(F.size(a), F.size(b)), overlap))
+    near = reduce(lambda x, y: x | y, [alike(a, b) for a in ("g1", "h1") for b in ("g2", "h2")])
     joined = joined.filter(reduce(lambda a, m: F.coalesce(F.col(f"{m}_1") == F.col(f"{m}_2"), F.lit(False)) | a, exact, near))
     evidence = [F.when(F.col(f"{m}_1") == F.col(f"{m}_2"), 1).when(F.col(f"{m}_1").isNotNull() & F.col(f"{m}_2").isNotNull(), 0).otherwise(-1).alias(f"e{k}") for k, m in enumerate(marks)]
     run, schema = _scores(weights)
@@ -302,8 +305,9 @@ def link_variants(
     marks = [f"m{k}" for k in range(len(evidence))]
     units = base.groupBy(*node, "form", "tokens", "nick").agg(F.min("id").alias("uid"), *(F.min(m).alias(m) for m in marks))
     own = F.min("uid").over(Window.partitionBy(*node))
-    units = cut(units.withColumns({"nid": own, "grams": _grams(F.col("tokens"), q)}))
-    found = candidates(units.withColumn("grams", rarest_first(units)), blocks, overlap)
+    units = cut(units.withColumns({"nid": own, "grams": _grams(F.col("tokens"), q), "nick_grams": _grams(F.col("nick"), q)}))
+    sets = units.select(*blocks, "uid", "source", F.explode(F.array_distinct(F.array("grams", "nick_grams"))).alias("grams")).filter(F.size("grams") > 0)
+    found = candidates(sets.withColumn("grams", rarest_first(sets)), blocks, overlap)
     keys = [m for m, c in zip(marks, evidence) if c in exact]
     if keys:
         found = found.unionByName(equal_marks(units, blocks, keys)).distinct()

@@ -85,6 +85,15 @@ def test_variants_that_share_no_gram(spark):
     assert link(exact=("b", "j")) == [(1, 2), (3, 4)] and link(exact=("b",)) == [(1, 2)]
 
 
+def test_variants_by_nickname(spark):
+    """A nickname finds its pair: against the other's name, and against the other's nickname."""
+    rows = [
+        (1, "m", "x", "1", "Dong-hwa Tak", None, None, None), (2, "m", "y", "1", "D. Tk", "Dong-hwa Tak", None, None),
+        (3, "n", "x", "2", "N. Gawk", "Nam-jin Gwak", None, None), (4, "n", "y", "2", "Nm. Gk", "Nam-jin Gwak", None, None), (5, "n", "y", "3", "Zoe Leewood", "Zozo", None, None),
+    ]
+    assert link(spark, rows) == [(1, 2), (3, 4)]
+
+
 def test_clubs(spark):
     rows = [(1, "m", "x", "1", "FC Racing Town", None, "A", "K"), (2, "m", "y", "1", "Racing Town", None, "A", "K"), (3, "m", "y", "2", "AC Dynamo Town", None, "B", "L"), (4, "m", "x", "2", "Dynamo Town (AC)", None, "B", "L")]
     assert link(spark, rows, CLUBS) == [(1, 2), (3, 4)]
