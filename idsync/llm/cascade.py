@@ -67,6 +67,8 @@ PASSES = (
         Rule("token slipped birth", ("sounds", "born"), ("sounds", "slips"), least=0.75),
         Rule("token town shirt", ("sounds", "town", "shirt"), least=0.7),
         Rule("token birth town", ("sounds", "born", "town"), least=0.7),
+        Rule("birth shirt", ("born", "shirt"), least=1.3),  # no name key: the names must carry what the keys don't
+        Rule("birth team", ("born", "team"), least=1.3),
     ),
     (
         Rule("token team", ("sounds", "team"), least=0.75),

@@ -137,6 +137,13 @@ def test_cascade(spark):
     assert match_cascade(left.limit(0), right, {}).count() == 0 and match_cascade(left, right.limit(0), {}).count() == 0
 
 
+def test_cascade_with_slips_in_all_tokens(spark):
+    """No name token is equal or sounds equal; birth date with shirt or team finds the pair, if the names are near."""
+    left = keys(spark, [(1, "Traiwand Tuchaindedin", "1990-05-30", "7", "Alpha"), (2, "Ba-kyeong Drurt", "1991-01-02", "8", "Beta"), (3, "Zoe Marsh", "1992-03-04", "9", "Gamma")])
+    right = keys(spark, [(101, "Trai Tuehaindedin", "1990-05-30", "7", None), (102, "B. rurt", "1991-01-02", None, "Beta"), (103, "Ann Leewood", "1992-03-04", "9", None)])
+    assert {(r.l, r.r, r.rule) for r in match_cascade(left, right, {}).collect()} == {(1, 101, "birth shirt"), (2, 102, "birth team")}
+
+
 def test_precision(spark):
     rows = keys(spark, [(1, "Ann Lee", "1990-05-30", "7", "t"), (2, "Ann Lee", "1990-05-30", "7", "t"), (3, "Bo Ray", "1990-05-30", "7", "t"), (4, "Ann Lee", "1980-01-01", "7", "t")])
     tied = rows.withColumn("person", F.when(F.col("id").isin(1, 2), "p").otherwise("q")).withColumn("first", F.col("id") == 1)
