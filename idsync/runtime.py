@@ -41,6 +41,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _file(spark: SparkSession, path: str):
+    """A path and its file system, as the JVM sees them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, files = _file(spark, path)
+    return files.exists(where)
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or of all files of a folder."""
+    where, files = _file(spark, path)
+    return files.getContentSummary(where).getLength()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that is no longer read."""
+    where, files = _file(spark, path)
+    files.delete(where, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers that don't share the driver's path, by way of the shared folder."""
     app = spark.sparkContext.applicationId
@@ -51,8 +74,8 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
     target = f"{scratch(spark, 'code')}/idsync_code.zip"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    path, files = _file(spark, target)
+    out = files.create(path)
     out.write(packed.getvalue())
     out.close()
     spark.sparkContext.addPyFile(target)
