@@ -4,11 +4,14 @@ Both inputs are streams. Each micro-batch adds its rows to the buffers of both s
 (versioned tables in the shared folder, written once per batch and safe to repeat),
 advances the watermark (latest arrival so far minus ``delay``), emits every left row whose
 horizon ``time + tolerance`` the watermark has passed, and evicts candidates that no
-remaining or future left row can reach. The end of the input closes all horizons.
+remaining or future left row can reach. The end of the input closes all horizons. Watermark
+and number of late rows are a row per batch beside the buffer, written last, so a stream that
+stops anywhere goes on from the folder ``path``, and a repeated batch starts from the state before it.
 
 Rows that arrive behind the watermark are not dropped: they go to a late table, and the
-left rows they touch are matched again against the sources at the end, so the result is
-the same for every split into micro-batches.
+left rows they touch (same entity, a cell of time in reach) are matched again against the
+sources at the end, so the result is the same for every split into micro-batches, whatever
+the first batches hold.
 
 Within a batch nothing is paired: both sides are laid on one time axis per entity and time
 cell, and each left row takes the last reading before and the first after it from two
@@ -28,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from idsync.runtime import scratch
+from idsync.runtime import exists, remove, scratch, size_of
 
 
 @dataclass(frozen=True)
@@ -41,6 +44,7 @@ class Side:
     arrival: str | None
     keys: tuple[str, ...]
     max_bytes_per_trigger: int | None = None
+    batches: int | None = None  # instead of a number of bytes: in about so many parts
 
     def shape(self, df: DataFrame, left: bool) -> DataFrame:
         time = F.unix_micros(F.col(self.time).cast("timestamp"))
@@ -51,8 +55,9 @@ class Side:
 
     def stream(self, spark: SparkSession, left: bool) -> DataFrame:
         reader = spark.readStream.schema(spark.read.parquet(self.path).schema)
-        if self.max_bytes_per_trigger:
-            reader = reader.option("maxBytesPerTrigger", str(self.max_bytes_per_trigger))
+        limit = -(-size_of(spark, self.path) // self.batches) if self.batches else self.max_bytes_per_trigger
+        if limit:
+            reader = reader.option("maxBytesPerTrigger", str(limit))
         glob = f"{self.path[:-1]}[{self.path[-1]}]"  # as a pattern, the path may be one file or a folder
         return self.shape(reader.parquet(glob), left)
 
@@ -60,16 +65,20 @@ class Side:
         return self.shape(spark.read.parquet(self.path), left)
 
 
+def cell_of(at: Column, tolerance: int) -> Column:
+    return F.floor(at / F.lit(max(4 * tolerance, 1))).cast("long")
+
+
+def cells_near(tolerance: int) -> Column:
+    """A row for each cell within the tolerance of ``at``."""
+    return F.explode(F.sequence(cell_of(F.col("at") - tolerance, tolerance), cell_of(F.col("at") + tolerance, tolerance))).alias("cell")
+
+
 def nearest(rows: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
     """(id, distance, match) for each left row of ``rows`` with a reading within ``tolerance`` microseconds."""
-    cell = max(4 * tolerance, 1)
-    bucket = lambda t: F.floor(t / F.lit(cell)).cast("long")
-    left = rows.filter("is_left").select(
-        F.lit(True).alias("is_left"), "id", "at", *keys,
-        F.explode(F.sequence(bucket(F.col("at") - tolerance), bucket(F.col("at") + tolerance))).alias("cell"),
-    )
+    left = rows.filter("is_left").select(F.lit(True).alias("is_left"), "id", "at", *keys, cells_near(tolerance))
     right = rows.filter("not is_left").groupBy(*keys, "at").agg(F.min("id").alias("id"))
-    right = right.select(F.lit(False).alias("is_left"), "id", "at", *keys, bucket(F.col("at")).alias("cell"))
+    right = right.select(F.lit(False).alias("is_left"), "id", "at", *keys, cell_of(F.col("at"), tolerance).alias("cell"))
     reading = F.when(~F.col("is_left"), F.struct("at", "id"))
     before = Window.partitionBy(*keys, "cell").orderBy("at", "is_left").rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy(*keys, "cell").orderBy(F.desc("at"), "is_left").rowsBetween(Window.unboundedPreceding, 0)
@@ -84,17 +93,18 @@ def nearest(rows: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
 
 
 class NearestTimeJoin:
-    """The operator: run both streams to their present end and return (left id, right id)."""
+    """The operator: run both streams to their present end and return (left id, right id).
 
-    def __init__(self, left: Side, right: Side, tolerance: int, delay: int):
-        self.left, self.right, self.tolerance, self.delay = left, right, tolerance, delay
+    ``path`` names a folder of the shared storage that keeps the state; a run on a folder with state goes on from it.
+    """
+
+    def __init__(self, left: Side, right: Side, tolerance: int, delay: int, path: str | None = None):
+        self.left, self.right, self.tolerance, self.delay, self.root = left, right, tolerance, delay, path
         self.keys = [f"k{i}" for i in range(len(left.keys))]
-        self.mark: int | None = None
-        self.late = 0
+        self.late = self.batches = 0
 
     def run(self, spark: SparkSession) -> DataFrame:
-        self.spark, self.root = spark, scratch(spark, "nearest")
-        self.mark, self.last = None, None
+        self.root = self.root or scratch(spark, "nearest")
         stream = self.left.stream(spark, True).unionByName(self.right.stream(spark, False))
         query = (
             stream.writeStream.foreachBatch(self._batch)
@@ -103,9 +113,14 @@ class NearestTimeJoin:
             .start()
         )
         query.awaitTermination()
-        if self.last is None:
+        state = self._state(spark)
+        if state is None:
             return self._named(nearest(self.left.table(spark, True).unionByName(self.right.table(spark, False)).limit(0), self.keys, self.tolerance))
-        self._emit(spark, F.lit(True), "end")
+        self.late, self.batches = state.late, state.epoch + 1
+        rows = self._buffer(spark, state.epoch)
+        if state.mark is not None:
+            rows = rows.filter(self._open(state.mark))
+        self._emit(rows, "end")
         found = spark.read.parquet(f"{self.root}/out").select("id", "distance", "match")
         if self.late:
             found = found.unionByName(self._corrections(spark))
@@ -115,37 +130,48 @@ class NearestTimeJoin:
     def _named(self, found: DataFrame) -> DataFrame:
         return found.select(F.col("id").alias(self.left.id), F.col("match").alias(self.right.id))
 
+    def _state(self, spark: SparkSession, before: int | None = None):
+        """The state after the last finished batch (before batch ``before``), or None; one row per batch."""
+        if not exists(spark, f"{self.root}/state"):
+            return None
+        rows = spark.read.schema("epoch long, mark long, late long").parquet(f"{self.root}/state/*")
+        return (rows.filter(F.col("epoch") < before) if before is not None else rows).orderBy(F.desc("epoch")).limit(1).first()
+
+    def _buffer(self, spark: SparkSession, epoch: int) -> DataFrame:
+        return spark.read.parquet(f"{self.root}/buffer/{epoch}").drop("late")
+
+    def _open(self, mark: int) -> Column:
+        """Left rows whose horizon the watermark hasn't passed, and readings that such rows can reach."""
+        return F.when(F.col("is_left"), F.col("at") + self.tolerance >= mark).otherwise(F.col("at") >= mark - 2 * self.tolerance)
+
     def _batch(self, rows: DataFrame, epoch: int) -> None:
-        spark, mark, tol = rows.sparkSession, self.mark, self.tolerance
-        buffer, added = f"{self.root}/buffer/{epoch}", rows
-        if mark is not None:
-            behind = F.when(F.col("is_left"), F.col("at") + tol < mark).otherwise(F.col("at") < mark)
-            added = rows.withColumn("late", behind)
-            kept = spark.read.parquet(self.last).filter(F.when(F.col("is_left"), F.col("at") + tol >= mark).otherwise(F.col("at") >= mark - 2 * tol))
-            added = added.unionByName(kept.withColumn("late", F.lit(False)))
-        else:
-            added = rows.withColumn("late", F.lit(False))
+        spark, tol = rows.sparkSession, self.tolerance
+        last = self._state(spark, epoch)
+        mark, late = (last.mark, last.late) if last else (None, 0)
+        behind = F.lit(False) if mark is None else F.when(F.col("is_left"), F.col("at") + tol < mark).otherwise(F.col("at") < mark)
+        added, buffer = rows.withColumn("late", behind), f"{self.root}/buffer/{epoch}"
+        if last:
+            kept = self._buffer(spark, last.epoch)
+            added = added.unionByName((kept.filter(self._open(mark)) if mark is not None else kept).withColumn("late", F.lit(False)))
         added.write.mode("overwrite").parquet(buffer)
-        self.last = buffer
-        arrived, late = spark.read.parquet(buffer).agg(F.max(F.coalesce("arrived", F.when(~F.col("is_left"), F.col("at")))), F.count_if("late")).first()
-        if late:
-            self.late += late
+        arrived, new = spark.read.parquet(buffer).agg(F.max(F.coalesce("arrived", F.when(~F.col("is_left"), F.col("at")))), F.count_if("late")).first()
+        if new:
             spark.read.parquet(buffer).filter("late").write.mode("overwrite").parquet(f"{self.root}/late/epoch={epoch}")
-        if arrived is not None:
-            self.mark = max(arrived - self.delay, mark if mark is not None else arrived - self.delay)
-            self._emit(spark, F.col("at") + tol < self.mark, str(epoch))
+        marks = [m for m in (mark, None if arrived is None else arrived - self.delay) if m is not None]
+        ahead = max(marks) if marks else None
+        if ahead is not None:
+            due = F.when(F.col("is_left"), F.col("at") + tol < ahead).otherwise(F.col("at") < ahead)
+            self._emit(self._buffer(spark, epoch).filter(due), str(epoch))
+        spark.createDataFrame([(epoch, ahead, late + new)], "epoch long, mark long, late long").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/state/{epoch}")
+        remove(spark, f"{self.root}/buffer/{epoch - 2}")  # the one before may be read once more, if this batch is repeated
 
-    def _emit(self, spark: SparkSession, due: Column, name: str) -> None:
-        rows = spark.read.parquet(self.last).drop("late")
-        if name == "end" and self.mark is not None:
-            due = F.col("at") + self.tolerance >= self.mark
-        ready = rows.filter(F.when(F.col("is_left"), due).otherwise(True))
-        nearest(ready, self.keys, self.tolerance).write.mode("overwrite").parquet(f"{self.root}/out/epoch={name}")
+    def _emit(self, rows: DataFrame, name: str) -> None:
+        nearest(rows, self.keys, self.tolerance).write.mode("overwrite").parquet(f"{self.root}/out/epoch={name}")
 
     def _corrections(self, spark: SparkSession) -> DataFrame:
         late = spark.read.parquet(f"{self.root}/late").select("is_left", "id", "at", "arrived", *self.keys)
-        all_left, all_right = self.left.table(spark, True), self.right.table(spark, False)
-        touched = late.select(*self.keys).distinct()
-        readings = nearest(all_left.join(touched, self.keys, "left_semi").unionByName(late.filter("not is_left")), self.keys, self.tolerance)
-        lefts = nearest(late.filter("is_left").unionByName(all_right.join(touched, self.keys, "left_semi")), self.keys, self.tolerance)
+        touched = late.select(*self.keys, cells_near(self.tolerance)).distinct()
+        in_reach = lambda df: df.withColumn("cell", cell_of(F.col("at"), self.tolerance)).join(touched, [*self.keys, "cell"], "left_semi").drop("cell")
+        readings = nearest(in_reach(self.left.table(spark, True)).unionByName(late.filter("not is_left")), self.keys, self.tolerance)
+        lefts = nearest(late.filter("is_left").unionByName(in_reach(self.right.table(spark, False))), self.keys, self.tolerance)
         return readings.unionByName(lefts)

@@ -34,7 +34,7 @@ def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Cano
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fixture_id, feed_id): the reading nearest to each fixture, at most 6 hours away; readings may come 10 days late."""
     fixtures = Side(f"{sf_dir}/fixture_list.parquet", "fixture_id", "match_date", None, TEAMS)
-    readings = Side(f"{sf_dir}/match_feed.parquet", "feed_id", "match_date", "received_at", TEAMS, max_bytes_per_trigger=256 << 30)
+    readings = Side(f"{sf_dir}/match_feed.parquet", "feed_id", "match_date", "received_at", TEAMS, batches=4)
     return NearestTimeJoin(fixtures, readings, tolerance=6 * HOUR, delay=10 * 24 * HOUR).run(spark)
 
 

@@ -61,3 +61,50 @@ def test_any_split_gives_the_same(spark, tmp_path, delay):
 def test_empty_sides(spark, tmp_path, sides):
     left, right = [(1, T0, "x", "y")][: sides[0]], [(10, T0, "x", "y", T0)][: sides[1]]
     assert run(spark, tmp_path, left, right)[0] == []
+
+
+H = lambda x: T0 + timedelta(hours=x)
+FIRSTS = {
+    "unusable": [(90, None, "x", "y", None), (91, H(0), None, "y", None)],
+    "readings of others": [(92, H(0), "z", "z", H(0))],
+    "late ones": [(93, H(500), "x", "y", H(500))],
+    "none": [],
+}
+
+
+@pytest.mark.parametrize("first", FIRSTS)
+@pytest.mark.parametrize("lefts_later", [False, True])
+def test_first_batches_lose_nothing(spark, tmp_path, first, lefts_later):
+    """The first batch holds no reading of use, or no left row at all; one file per batch."""
+    left = [(1, H(0), "x", "y"), (2, H(30), "x", "y"), (3, H(499), "x", "y")]
+    right = [*FIRSTS[first], (10, H(1), "x", "y", H(1)), (20, H(29), "x", "y", H(29))]
+    write(spark, f"{tmp_path}/l", [(9, None, "x", "y")] if lefts_later else left, LEFT)
+    if lefts_later:
+        write(spark, f"{tmp_path}/l", left, LEFT)
+    for r in (FIRSTS[first], right[-2:-1], right[-1:]):
+        write(spark, f"{tmp_path}/r", r, RIGHT)
+    op = NearestTimeJoin(Side(f"{tmp_path}/l", "fid", "at", None, ("h", "a"), 1), Side(f"{tmp_path}/r", "rid", "at", "got", ("h", "a"), 1), 6 * HOUR, 24 * HOUR)
+    assert sorted((r.fid, r.rid) for r in op.run(spark).collect()) == brute(left, right)
+    assert op.batches > 1
+
+
+def write(spark, path, rows, schema):
+    spark.createDataFrame([(*r, "x") for r in rows], schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_a_stopped_stream_goes_on(spark, tmp_path):
+    """Three runs on one folder, a new operator each; the second adds rows that change what the first found at its end."""
+    import random
+
+    rnd = random.Random(7)
+    left = [(i, H(rnd.randrange(300)), "hot", "x") for i in range(40)]
+    right = [(i, at, "hot", "x", at + timedelta(hours=rnd.choice([0, 1, 60]))) for i, at in enumerate(H(rnd.randrange(300)) for _ in range(120))]
+    right.sort(key=lambda r: r[4])
+    parts = [(left[:20], right[:30]), (left[20:], right[30:80]), ([], right[80:])]
+    for a, b in parts:
+        write(spark, f"{tmp_path}/l", a, LEFT)
+        write(spark, f"{tmp_path}/r", b, RIGHT)
+        op = NearestTimeJoin(Side(f"{tmp_path}/l", "fid", "at", None, ("h", "a")), Side(f"{tmp_path}/r", "rid", "at", "got", ("h", "a"), 1), 6 * HOUR, 24 * HOUR, f"{tmp_path}/state")
+        got = sorted((r.fid, r.rid) for r in op.run(spark).collect())
+    assert got == brute(left, right)
+    assert op.late
