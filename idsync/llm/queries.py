@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idsync.llm.bpe import encode, token_counts
-from idsync.llm.cascade import keyed, match_cascade, rule_precision
+from idsync.llm.cascade import keyed, label_sample, match_cascade
 from idsync.llm.components import link_groups
 from idsync.llm.lookalikes import Canonical, same_looks
 from idsync.llm.nearest import NearestTimeJoin, Side
@@ -85,9 +85,9 @@ def p7_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     canonical = Canonical.fit(spark, [(registry, "player_name"), (reports, "player_name"), (registry, "team_name"), (reports, "team_name")])
     keys = lambda df, key, team: keyed(df, key, canonical.form("player_name"), F.col("birth_date"), F.col("jersey_number"), team)
     sides = [keys(df, key, canonical.form("team_name")) for df, key in ((registry, "reg_id"), (reports, "scout_id"))]
-    labelled = labelled.filter(F.col("person_id").isNotNull() & usable_name(F.col("player_name"))).withColumn("birth_date", F.when(usable_date(F.col("birth_date")), F.col("birth_date")))
-    tied = keys(labelled, "version_id", F.col("team_id")).join(labelled.select(F.col("version_id").alias("id"), "person_id", (F.col("data_provider") == "provider_a").alias("first")), "id")
-    found = match_cascade(*sides, rule_precision(cut(tied), "person_id"))
+    labelled = label_sample(labelled.filter(usable_name(F.col("player_name"))), "person_id", "version_id").withColumn("birth_date", F.when(usable_date(F.col("birth_date")), F.col("birth_date")))
+    tied = keys(labelled, "version_id", F.col("team_id")).join(labelled.select(F.col("version_id").alias("id"), F.col("person_id").alias("person"), "first"), "id")
+    found = match_cascade(*sides, tied)
     return found.select(F.col("l").alias("reg_id"), F.col("r").alias("scout_id"), "rule", F.round("confidence", 6).alias("confidence"))
 
 

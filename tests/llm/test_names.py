@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from idsync.llm.cascade import birth_date, keyed, match_cascade, rule_precision
+from idsync.llm.cascade import birth_date, keyed, label_sample, match_cascade
 from idsync.llm.lookalikes import CLASSES, Canonical, Lattice, compatible, same_looks
 from idsync.llm.variants import CLUBS, PEOPLE, _grams, candidates, edits, link_variants, name_similarity, token_similarity, tokens_of
 
@@ -130,22 +130,48 @@ def test_cascade(spark):
         spark,
         [(101, "Leewood, A.", "30.05.90", "7", None), (102, "ann leewod", "31.05.1990", None, "Alpha Town FC"), (103, "Bo Marsh", "02.01.1991", None, None), (104, "Bo Marsh", None, None, None), (105, "Nobody Here", "01.01.2001", "1", "Omega"), (106, None, None, None, None), (107, "Cy Dorn", "1999", "3", "Delta")],
     )
-    found = match_cascade(left, right, {"name birth": 0.9})
+    found = match_cascade(left, right)
     got = {r.r: (r.l, r.rule, r.confidence) for r in found.collect()}
     assert {k: v[0] for k, v in got.items()} == {101: 1, 102: 1, 103: 2, 107: 5}  # 104 fits two people
-    assert got[103][1:] == ("name birth", 0.9)
-    assert match_cascade(left.limit(0), right, {}).count() == 0 and match_cascade(left, right.limit(0), {}).count() == 0
+    assert got[103][1:] == ("name birth", 0.5)
+    assert match_cascade(left.limit(0), right).count() == 0 and match_cascade(left, right.limit(0)).count() == 0
+    doubled = left.unionByName(left.withColumn("id", F.col("id") + 50))
+    assert match_cascade(doubled, right).count() == 0  # each report fits two rows
+
+
+def test_strictest_rule_decides(spark):
+    """The report agrees with 1 in name and birth, with 2 in name, team and shirt: the stricter rule wins, and no weaker one is asked."""
+    left = keys(spark, [(1, "Ann Leewood", "1990-05-30", None, None), (2, "Ann Leewood", None, "7", "Alpha")])
+    right = keys(spark, [(101, "Ann Leewood", "1990-05-30", "7", "Alpha")])
+    assert [(r.l, r.rule) for r in match_cascade(left, right).collect()] == [(1, "name birth")]
+
+
+def test_joins_are_not_left_to_estimates(spark):
+    """No join of exploded keys, or with whole sides, may become a broadcast."""
+    from idsync.llm.cascade import PASSES, joined, judged
+
+    side = keys(spark, [(1, "Ann Leewood", "1990-05-30", "7", "Alpha")]).withColumn("world", F.lit(0))
+    plan = judged(joined(side, side, PASSES[1]), side, side, 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
 def test_cascade_with_slips_in_all_tokens(spark):
     """No name token is equal or sounds equal; birth date with shirt or team finds the pair, if the names are near."""
     left = keys(spark, [(1, "Traiwand Tuchaindedin", "1990-05-30", "7", "Alpha"), (2, "Ba-kyeong Drurt", "1991-01-02", "8", "Beta"), (3, "Zoe Marsh", "1992-03-04", "9", "Gamma")])
     right = keys(spark, [(101, "Trai Tuehaindedin", "1990-05-30", "7", None), (102, "B. rurt", "1991-01-02", None, "Beta"), (103, "Ann Leewood", "1992-03-04", "9", None)])
-    assert {(r.l, r.r, r.rule) for r in match_cascade(left, right, {}).collect()} == {(1, 101, "birth shirt"), (2, 102, "birth team")}
+    assert {(r.l, r.r, r.rule) for r in match_cascade(left, right).collect()} == {(1, 101, "birth shirt"), (2, 102, "birth team")}
 
 
 def test_precision(spark):
-    rows = keys(spark, [(1, "Ann Lee", "1990-05-30", "7", "t"), (2, "Ann Lee", "1990-05-30", "7", "t"), (3, "Bo Ray", "1990-05-30", "7", "t"), (4, "Ann Lee", "1980-01-01", "7", "t")])
-    tied = rows.withColumn("person", F.when(F.col("id").isin(1, 2), "p").otherwise("q")).withColumn("first", F.col("id") == 1)
-    got = rule_precision(tied, "person")
-    assert got["name birth"] == pytest.approx(2 / 3) and got["birth team shirt"] == pytest.approx(2 / 4) and got["name team"] == pytest.approx(2 / 4)
+    """Of two pairs that name and birth date resolve one is of one person: (1 + 1) / (2 + 2)."""
+    rows = keys(spark, [(1, "Ann Lee", "1990-05-30", "7", "t"), (2, "Ann Lee", "1990-05-30", "7", "t"), (3, "Bo Ray", "1991-05-30", "8", "u"), (4, "Bo Ray", "1991-05-30", "8", "u")])
+    tied = rows.withColumn("person", F.when(F.col("id") == 4, "q").otherwise(F.when(F.col("id") == 3, "r").otherwise("p"))).withColumn("first", F.col("id").isin(1, 3))
+    left, right = keys(spark, [(7, "Cy Dorn", "1990-05-30", "3", "Delta")]), keys(spark, [(8, "Cy Dorn", "1990-05-30", None, None)])
+    assert [(r.l, r.r, r.confidence) for r in match_cascade(left, right, tied).collect()] == [(7, 8, pytest.approx(2 / 4))]
+
+
+def test_label_sample(spark):
+    df = spark.createDataFrame([(i, f"p{i // 3}") for i in range(300)] + [(999, None)], "v long, p string")
+    all_, some = label_sample(df, "p", "v"), label_sample(df, "p", "v", 100)
+    assert all_.count() == 300 and all_.filter("first").count() == 100
+    assert 0 < some.count() < 200 and some.groupBy("p").count().filter("count <> 3").count() == 0
