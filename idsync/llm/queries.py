@@ -12,7 +12,7 @@ from idsync.llm.lookalikes import Canonical, same_looks
 from idsync.llm.nearest import NearestTimeJoin, Side
 from idsync.llm.packing import fill_containers
 from idsync.llm.repetition import banded, repetitive
-from idsync.llm.survivors import survivors, usable_date, usable_name
+from idsync.llm.survivors import described, survivors, usable_date, wording
 from idsync.llm.variants import CLUBS, PEOPLE, link_variants
 from idsync.operators.timestamps import day_month_order, normalise_timestamps
 from idsync.runtime import cut
@@ -62,12 +62,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(person_id, field_name, version_id): the surviving row of each person's field by trust, then recency, then id."""
-    return p3_survivors(spark, sf_dir).select("person_id", "field_name", "version_id")
+    return survivors(_read(spark, sf_dir, "squad_versions"), _read(spark, sf_dir, "provider_ranks"))
 
 
 def p3_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As p3_found, with the posterior of the surviving value and the number of values judged true."""
-    best = survivors(_read(spark, sf_dir, "squad_versions"), _read(spark, sf_dir, "provider_ranks"))
+    best = described(_read(spark, sf_dir, "squad_versions"), _read(spark, sf_dir, "provider_ranks"))
     return best.withColumn("posterior", F.round("posterior", 6))
 
 
@@ -85,7 +85,7 @@ def p7_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     canonical = Canonical.fit(spark, [(registry, "player_name"), (reports, "player_name"), (registry, "team_name"), (reports, "team_name")])
     keys = lambda df, key, team: keyed(df, key, canonical.form("player_name"), F.col("birth_date"), F.col("jersey_number"), team)
     sides = [keys(df, key, canonical.form("team_name")) for df, key in ((registry, "reg_id"), (reports, "scout_id"))]
-    labelled = label_sample(labelled.filter(usable_name(F.col("player_name"))), "person_id", "version_id").withColumn("birth_date", F.when(usable_date(F.col("birth_date")), F.col("birth_date")))
+    labelled = label_sample(labelled.filter(wording(F.col("player_name")).isNotNull()), "person_id", "version_id").withColumn("birth_date", F.when(usable_date(F.col("birth_date")), F.col("birth_date")))
     tied = keys(labelled, "version_id", F.col("team_id")).join(labelled.select(F.col("version_id").alias("id"), F.col("person_id").alias("person"), "first"), "id")
     found = match_cascade(*sides, tied)
     return found.select(F.col("l").alias("reg_id"), F.col("r").alias("scout_id"), "rule", F.round("confidence", 6).alias("confidence"))
