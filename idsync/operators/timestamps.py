@@ -4,11 +4,13 @@ Every value becomes a mask of character classes (``2024-03-01T10:05Z`` ->
 ``9999-99-99A99:99A``). A distinct mask is compiled once into a parser that knows at
 which offsets the fields lie; the values of one mask then form a matrix of code points
 and are converted all at once. Local times go through a zone transition table: two
-sorted arrays per zone, searched with one ``searchsorted``.
+sorted arrays per zone, searched with one ``searchsorted``. A table reaches from before the
+first time zones to the year 2500; as the calendar repeats every 400 years, so does a
+zone's last rule, and later times are looked up that many years earlier.
 
 Defined results
 * null, empty, unknown notation, impossible date (month 13, 30 February, 0000-00-00): null.
-* longer than ``MAX_LEN`` characters after trimming: null (no notation is that long).
+* values of any length are read; those of one length form the matrices, so a long one costs only itself.
 * date whose time of day is impossible (25:99): the date alone counts.
 * offset or Z in the value: taken as written; a zone name in brackets beside an offset adds nothing.
 * time without zone: on the clock of the zone column, UTC where that is null or no known zone.
@@ -20,11 +22,13 @@ Defined results
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from datetime import datetime, timezone
 from functools import lru_cache
-from zoneinfo import ZoneInfo, available_timezones
+from pathlib import Path
+from zoneinfo import TZPATH, ZoneInfo, available_timezones
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +37,8 @@ from pyspark.sql import functions as F
 
 from idsync.runtime import ship
 
-MAX_LEN = 64
 DAY_MS = 86_400_000
+CYCLE_MS = 146_097 * DAY_MS  # 400 years, a whole number of weeks
 # English month names; three letters are enough to tell them apart.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
@@ -47,7 +51,9 @@ _DATES = (
 )
 _CLOCK = r"(?P<H>9{1,2})[:.](?P<M>99)(?:[:.](?P<S>99)(?:[.,](?P<f>9{1,9}))?)?(?P<ap> ?AA(?!A))?"
 _PLAIN_CLOCK = r"(?P<H>99)(?P<M>99)(?P<S>99)?"
-_ZONE = r"(?: ?(?P<sign>[-+])(?P<oh>99):?(?P<om>99)(?P<name>\[[A/_+\-9]+\])?|(?P<z>A)| (?P<utc>AAA)|(?P<only>\[[A/_+\-9]+\]))?"
+_NAME = r"\[[A/_+\-9]+\]"
+_ZONE = rf"(?: ?(?P<sign>[-+])(?P<oh>99):?(?P<om>99)(?P<name> *{_NAME})?|(?P<z>A)(?P<name2> *{_NAME})?| (?P<utc>AAA)(?P<name3> *{_NAME})?| *(?P<only>{_NAME}))?"
+LONG = 256
 
 
 def order_votes(value, source):
@@ -91,7 +97,7 @@ def compile_clock(mask: str):
 
 
 def _spans(m: re.Match) -> dict[str, tuple[int, int]]:
-    return {k.rstrip("2"): m.span(k) for k, v in m.groupdict().items() if v is not None and k != "s"}
+    return {k.rstrip("23"): m.span(k) for k, v in m.groupdict().items() if v is not None and k != "s"}
 
 
 def mask_of(values: np.ndarray) -> np.ndarray:
@@ -105,19 +111,30 @@ def mask_of(values: np.ndarray) -> np.ndarray:
     return points.view(f"U{width}").reshape(len(values))
 
 
+@lru_cache(maxsize=1)
 def tz_version() -> str:
-    """The version of the zone data that the tables are made from."""
-    try:
+    """What tells the zone data of this machine apart: a digest of the system's files, which come first, else the version of the package."""
+    files = sorted((n, p) for n in available_timezones() for p in [next((Path(t) / n for t in TZPATH if (Path(t) / n).is_file()), None)] if p)
+    if not files:
         import tzdata
 
         return tzdata.IANA_VERSION
-    except ImportError:
-        return "system"
+    digest = hashlib.sha256()
+    for name, path in files:
+        digest.update(name.encode() + b"\0" + path.read_bytes())
+    return digest.hexdigest()[:16]
+
+
+def _seconds(year: int) -> int:
+    return int(datetime(year, 1, 1, tzinfo=timezone.utc).timestamp())
+
+
+FAR_MS, LAST_MS = _seconds(2100) * 1000, _seconds(2500) * 1000
 
 
 @lru_cache(maxsize=1024)
-def zone_table(version: str, name: str) -> tuple[np.ndarray, np.ndarray] | None:
-    """(local starts in ms, offsets in ms) of a zone from 1970 to 2100, or None for an unknown zone.
+def zone_table(version: str, name: str, far: bool = True) -> tuple[np.ndarray, np.ndarray] | None:
+    """(local starts in ms, offsets in ms) of a zone up to 2500 (2100 unless ``far``), or None for an unknown zone.
 
     Regime i holds from ``starts[i - 1]`` on. A start is the transition plus the larger of
     both offsets: an hour that occurs twice so stays in the earlier regime, and a skipped
@@ -127,29 +144,33 @@ def zone_table(version: str, name: str) -> tuple[np.ndarray, np.ndarray] | None:
         raise RuntimeError(f"zone data {tz_version()} on this worker, {version} on the driver")
     if name not in available_timezones():
         return None
-    zone, step = ZoneInfo(name), 3 * 86_400
+    zone, day = ZoneInfo(name), 86_400
     offset = lambda second: zone.utcoffset(datetime.fromtimestamp(second, zone)).total_seconds()
-    at, last = 0, int(datetime(2100, 1, 1, tzinfo=timezone.utc).timestamp())
+    at = _seconds(1800)
     now, starts, offsets = offset(at), [], [offset(at)]
-    while at < last:
-        then = offset(at + step)
-        if then != now:
-            low, high = at, at + step
-            while high - low > 1:
-                middle = (low + high) // 2
-                low, high = (middle, high) if offset(middle) == now else (low, middle)
-            starts.append((high + max(now, then)) * 1000)
-            offsets.append(then)
-            now = then
-        at += step
+    for until, step in ((1910, 15 * day), (2040, 3 * day), (2501 if far else 2101, 10 * day)):  # the rules of our time change at most a few times a year
+        last = _seconds(until)
+        while at < last:
+            then = offset(at + step)
+            if then != now:
+                low, high = at, at + step
+                while high - low > 1:
+                    middle = (low + high) // 2
+                    low, high = (middle, high) if offset(middle) == now else (low, middle)
+                starts.append((high + max(now, then)) * 1000)
+                offsets.append(then)
+                now = then
+            at += step
     return np.array(starts, "int64"), np.array([x * 1000 for x in offsets], "int64")
 
 
 def to_utc(local: np.ndarray, zones: np.ndarray, version: str) -> np.ndarray:
     """Local milliseconds to UTC milliseconds; null or unknown zones count as UTC."""
     out = local.copy()
+    local = np.where(local >= LAST_MS, local - (1 + (local - LAST_MS) // CYCLE_MS) * CYCLE_MS, local)
+    far = bool((local >= FAR_MS).any())
     for name in {z for z in zones if z}:
-        if (table := zone_table(version, name)) is not None:
+        if (table := zone_table(version, name, far)) is not None:
             here = zones == name
             out[here] -= table[1][np.searchsorted(table[0], local[here], side="right")]
     return out
@@ -186,21 +207,21 @@ def parse(values: list[str | None], month_first: np.ndarray | None, clock_only:
     """Parse a batch, one distinct mask at a time."""
     out = Parsed(len(values))
     text = [(v or "").strip() for v in values]
-    where = np.array([i for i, v in enumerate(text) if v and len(v) <= MAX_LEN], "int64")
-    if not len(where):
-        return out
-    array = np.array([text[i] for i in where])
-    distinct, group = np.unique(mask_of(array), return_inverse=True)
-    rank = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[rank], np.arange(len(distinct) + 1))
-    for k, mask in enumerate(distinct):
-        compiled = (compile_clock if clock_only else compile_date)(str(mask))
-        if compiled is None:
-            continue
-        local = rank[edges[k] : edges[k + 1]]
-        rows, n = where[local], len(mask)
-        points = array[local].astype(f"U{n}").view(np.uint32).reshape(len(local), n)
-        _convert(compiled, points, rows, month_first, out)
+    lengths = np.fromiter(map(len, text), "int64", len(text))
+    for n in np.unique(lengths[lengths > 0]).tolist():
+        where = np.flatnonzero(lengths == n)
+        array = np.array([text[i] for i in where], f"U{n}")
+        distinct, group = np.unique(mask_of(array), return_inverse=True)
+        rank = np.argsort(group, kind="stable")
+        edges = np.searchsorted(group[rank], np.arange(len(distinct) + 1))
+        for k, mask in enumerate(distinct):
+            compiler = compile_clock if clock_only else compile_date
+            compiled = (compiler if n <= LONG else compiler.__wrapped__)(str(mask))
+            if compiled is None:
+                continue
+            local = rank[edges[k] : edges[k + 1]]
+            points = array[local].view(np.uint32).reshape(len(local), n)
+            _convert(compiled, points, where[local], month_first, out)
     return out
 
 

@@ -48,6 +48,16 @@ def iso(date, clock=None, zone=None, month_first=False):
         ("99-99-2024", None, None, None),
         ("31-31-1999", None, None, None),
         ("Foo 10, 2024", None, None, None),
+        ("1969-07-01", "12:00", "America/New_York", "1969-07-01T16:00:00.000Z"),
+        ("1875-01-01", "12:00", "America/New_York", "1875-01-01T16:56:02.000Z"),  # before time zones, the sun's time
+        ("2101-07-01", "12:00", "America/New_York", "2101-07-01T16:00:00.000Z"),
+        ("2733-07-01", "12:00", "America/New_York", "2733-07-01T16:00:00.000Z"),
+        ("9999-01-01", "12:00", "America/New_York", "9999-01-01T17:00:00.000Z"),
+        ("Wednesday, 24 September 2025 10:15:30.123456789[America/Argentina/ComodRivadavia]", None, None, "2025-09-24T13:15:30.123Z"),
+        ("2025-09-24T10:15:30 [Europe/Paris]", None, None, "2025-09-24T08:15:30.000Z"),
+        ("2025-09-24T10:15:30+02:00 [Europe/Paris]", None, "Asia/Tokyo", "2025-09-24T08:15:30.000Z"),
+        ("2025-09-24T10:15:30Z[UTC]", None, "Asia/Tokyo", "2025-09-24T10:15:30.000Z"),
+        (" " * 5000 + "2024-02-29" + " " * 5000, None, None, "2024-02-29"),
         ("", "10:00", None, None),
         (None, "10:00", None, None),
         ("tbc", None, None, None),
@@ -106,3 +116,19 @@ def test_empty_table_and_clashing_column(spark):
     df = spark.createDataFrame([], "d string, iso_value string, c string")
     out = normalise_timestamps(df, "d", clock="c")
     assert out.columns == ["d", "c", "iso_value"] and out.count() == 0
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.sampled_from(ZONES), st.integers(1880, 2499), st.integers(0, 8783))
+def test_any_year(zone, year, hour):
+    """Every local hour of the years of the table against the standard library (fold 0, skipped hours moved on)."""
+    local = datetime(year, 1, 1) + timedelta(hours=hour)
+    wanted = local.replace(tzinfo=ZoneInfo(zone)).astimezone(timezone.utc).replace(tzinfo=None)
+    ms = lambda d: int((d - datetime(1970, 1, 1)) / timedelta(milliseconds=1))
+    assert to_utc(np.array([ms(local)]), np.array([zone], object), V)[0] == ms(wanted)
+
+
+def test_version_is_of_the_data():
+    assert V not in ("", "system") and len(V) >= 5
+    with pytest.raises(RuntimeError):
+        zone_table("another", "Europe/Berlin")
