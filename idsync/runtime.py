@@ -58,6 +58,13 @@ def size_of(spark: SparkSession, path: str) -> int:
     return files.getContentSummary(where).getLength()
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read again, and its path, to be removed when it is no longer read."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that is no longer read."""
     where, files = _file(spark, path)
