@@ -1,12 +1,14 @@
 """Connected components over pairwise links by alternating large-star and small-star rewrites.
 
-Nodes are strings; a component is named by its smallest node in character order. They are
-numbered once in that order, so the rewrites move pairs of numbers only. Both rewrites are
-one aggregation (minimum per node, combined before the shuffle) and one equi-join of the
-edges with those minima. A hub is only ever hot on the edge side, which adaptive execution
-splits; no neighbour list is ever gathered. After each pair of rewrites the edges are
-checkpointed in the shared folder, and the loop ends when the set of edges no longer changes
-(count and order-free hash of all edges).
+Nodes are strings; a component is named by its smallest node in character order. Keys are spelt
+once and written; nodes are numbered once in their order, so the rewrites move pairs of numbers
+only. An edge points from its larger to its smaller node. Large-star links every edge's larger end to
+the smallest node around its smaller end, small-star a node and its smaller neighbours to the smallest
+of them; each is one minimum per node, combined before the shuffle, and one equi-join. A hub is
+only ever hot on the edge side, which adaptive execution splits; no neighbour list is ever gathered.
+After each pair of rewrites the edges are written to the shared folder, and the table before is removed;
+the loop ends when the set of edges no longer changes (count and order-free hashes). Components that
+are stars with no other edge at any of their nodes can't change any more and leave the loop.
 
 Defined results: null, blank and self links add a node but no edge; repeated and reversed
 links count once; no links give an empty table.
@@ -14,60 +16,82 @@ links count once; no links give an empty table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from idsync.runtime import cut
+from idsync.runtime import remove, stored
 
 MAX_ROUNDS = 200
+SPLITS = (0, 3)  # rounds after which settled components leave
 
 
 def plain_number(value: Column) -> Column:
     """An id as a plain whole number: no blanks, leading zeros, plus sign or zero decimals; other ids only trimmed, blank ones null."""
-    text = F.regexp_replace(value.cast("string"), r"(?U)^\s+|\s+$", "")
+    value = value.cast("string")
+    text = F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
     digits = F.regexp_extract(text, r"^\+?0*([0-9]+)(?:\.0*)?$", 1)
-    return F.when(digits != "", digits).when(text != "", text)
+    plain = (value != "") & ~value.startswith("0") & (F.translate(value, "0123456789", "") == "")  # most are; no pattern needed
+    return F.when(plain, value).when(digits != "", digits).when(text != "", text)
+
+
+def _lowest(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Connect every larger neighbour of a node to the smallest node around it; repeated edges may come out."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = _lowest(edges).withColumnRenamed("u", "v")
+    return edges.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Connect a node and its smaller neighbours to the smallest of them; edges point from larger to smaller."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    """Connect a node and its smaller neighbours to the smallest of them."""
+    low = _lowest(edges)
     moved = edges.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
 def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
+
+
+def _unsettled(edges: DataFrame) -> DataFrame:
+    """(v): nodes with an edge that isn't one of a star: its larger end has another edge."""
+    inner = edges.groupBy("u").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("u").unionByName(edges.select(F.col("v").alias("u"))).distinct()
+    odd = edges.join(inner, "u", "left_semi")
+    return odd.select("v").unionByName(odd.select(F.col("u").alias("v"))).distinct()
 
 
 def numbered(nodes: DataFrame) -> DataFrame:
     """(node, n): numbers in the order of the nodes, from a range partitioning and the place in each partition."""
     spread = nodes.repartitionByRange("node").sortWithinPartitions("node")
-    return cut(spread.select("node", F.monotonically_increasing_id().alias("n")))
+    return stored(spread.select("node", F.monotonically_increasing_id().alias("n")), "nodes")[0]
 
 
 def connected_components(links: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component) for every non-null value of ``left`` and ``right``."""
-    pairs = links.select(F.col(left).alias("a"), F.col(right).alias("b"))
+    spark = links.sparkSession
+    pairs, _ = stored(links.select(F.col(left).alias("a"), F.col(right).alias("b")), "links")
     nodes = numbered(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).dropna().distinct())
     linked = pairs.dropna().filter("a <> b").join(nodes.select(F.col("node").alias("a"), F.col("n").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("n").alias("y")), "b")
-    edges = cut(linked.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
-    before = _state(edges)
-    for _ in range(MAX_ROUNDS):
-        edges = cut(_small_star(_large_star(edges)))
-        after = _state(edges)
+    edges, path = stored(linked.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
+    before, settled = _state(edges), []
+    for round_ in range(MAX_ROUNDS):
+        new, new_path = stored(_small_star(_large_star(edges)), "edges")
+        if round_ in SPLITS:
+            open_, _ = stored(_unsettled(new), "open")
+            settled.append(stored(new.join(open_, "v", "left_anti").select("u", "v"), "settled")[0])
+            new, new_path = stored(new.join(open_, "v", "left_semi").select("u", "v"), "edges")
+        remove(spark, path)
+        edges, path, after = new, new_path, _state(new)
         if after == before:
             break
         before = after
     else:
         raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")
+    edges = reduce(lambda a, b: a.unionByName(b), settled, edges)
     named = edges.join(nodes.select(F.col("n").alias("v"), F.col("node").alias("component")), "v").select(F.col("u").alias("n"), "component")
     return nodes.join(named, "n", "left").select("node", F.coalesce("component", "node").alias("component"))
 
