@@ -50,12 +50,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     players = normalise_timestamps(players, "birth_date", orders=orders, source="data_provider", out="birth")
     players = players.withColumns({"form": canonical.form("player_name"), "nick": canonical.form("player_nickname")})
     people = link_variants(
-        players, key="record_id", blocks=["match_id", "team_id"], source="data_provider", source_id="provider_player_id", form="form", nickname="nick",
-        evidence=["birth", "jersey_number"], weights=PEOPLE, exact=("birth", "jersey_number"),
+        players, key="record_id", blocks=["match_id"], source="data_provider", source_id="provider_player_id", form="form", nickname="nick",
+        evidence=["birth", "jersey_number", "team_id"], weights=PEOPLE, exact=("birth", "jersey_number"),
     )
     clubs = link_variants(
-        teams.withColumn("form", canonical.form("team_name")), key="record_id", blocks=["competition_id", "season_id", "team_gender", "team_age_group"], source="data_provider",
-        source_id="provider_team_id", form="form", nickname=None, evidence=["ussf_country_id", "team_confederation"], weights=CLUBS,
+        teams.withColumn("form", canonical.form("team_name")), key="record_id", blocks=["competition_id", "season_id"], source="data_provider",
+        source_id="provider_team_id", form="form", nickname=None, evidence=["ussf_country_id", "team_confederation", "team_gender", "team_age_group"], weights=CLUBS,
     )
     return people.select(F.lit("player").alias("record_type"), "*").unionByName(clubs.select(F.lit("team").alias("record_type"), "*"))
 

@@ -18,8 +18,9 @@ pairs count, and links through a third source are followed once.
 Nothing is capped: a frequent gram only costs join rows inside its block, where prefixes
 seldom reach it.
 
-Defined results: null or empty names link nothing; repeated rows are units of one id;
-pairs that look alike (equal canonical forms) are left out; missing attributes are neutral.
+Defined results: null or empty names, null blocks, sources or source ids link nothing; repeated rows are units of one id;
+pairs that look alike (equal canonical forms) are left out; missing attributes are neutral, and a deviating team,
+gender or age group only weighs against a pair.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -79,15 +80,25 @@ def tokens_of(form: str | None, club: bool = False) -> list[str]:
     return kept or flat
 
 
+@lru_cache(maxsize=60_000)
 def sound(token: str) -> str:
     for a, b in SOUNDS:
         token = token.replace(a, b)
     return re.sub(r"(.)\1+", r"\1", token)
 
 
+@lru_cache(maxsize=60_000)
+def _letters(text: str) -> int:
+    """The set of letters as bits (letters that share a bit count as one)."""
+    out = 0
+    for c in text:
+        out |= 1 << ord(c) % 61
+    return out
+
+
 def edits(a: str, b: str, most: int) -> int:
     """Edit distance with swaps of neighbours; most + 1 beyond ``most``."""
-    if abs(len(a) - len(b)) > most:
+    if abs(len(a) - len(b)) > most or (_letters(a) ^ _letters(b)).bit_count() > 2 * most:  # an edit changes two letters of the set at most
         return most + 1
     two: list[int] = []
     last = list(range(len(b) + 1))
@@ -113,7 +124,7 @@ def token_similarity(a: str, b: str, club: bool) -> float:
         a, b = b, a
     if len(a) == 1:
         return 0.8 if b[0] == a and a.isalpha() else 0.0
-    if any(b == full and a in short or a == full and b in short for full, short in SHORT_FORMS.items() if full in (a, b)):
+    if a in SHORT_FORMS.get(b, ()) or b in SHORT_FORMS.get(a, ()):
         return 0.9
     if sound(a) == sound(b) and len(a) > 2:
         return 0.95
@@ -177,8 +188,8 @@ class Weights:
     club: bool = False
 
 
-PEOPLE = Weights(conflict=0.6, evidence=((0.45, -0.2), (0.25, -0.15)), accept=0.62, least=0.3)
-CLUBS = Weights(conflict=0.8, evidence=((0.25, -0.5), (0.05, -0.2)), accept=0.62, least=0.3, club=True)
+PEOPLE = Weights(conflict=0.6, evidence=((0.45, -0.2), (0.25, -0.15), (0.0, -0.4)), accept=0.62, least=0.3)  # birth date, shirt, team
+CLUBS = Weights(conflict=0.8, evidence=((0.25, -0.5), (0.05, -0.2), (0.0, -1.0), (0.0, -1.0)), accept=0.62, least=0.3, club=True)  # country, confederation, gender, age group
 
 
 def _grams(tokens: Column, q: int) -> Column:
@@ -206,20 +217,27 @@ def _least_shared(size: Column, overlap: float) -> Column:
     return F.ceil(size * overlap - 1e-9)
 
 
+MATCHES = 3
+
+
 def candidates(units: DataFrame, blocks: list[str], overlap: float) -> DataFrame:
     """(i, j): units of one block, of different sources, that may share ``overlap`` of the smaller gram set.
 
-    ``units`` has uid, source, grams and the block columns, a row for each set of a unit. Any order of grams that is the same
-    in all sets makes the prefix of the smaller set meet the larger set; from the rarest on,
-    few rows meet, also in a block of very many. A gram is joined inside its block only.
+    ``units`` has uid, source, set (a number), grams and the block columns, a row for each set of a unit. Any order of grams
+    that is the same in all sets makes a prefix of the smaller set meet the larger set; from the rarest on,
+    few rows meet, also in a block of very many. The prefix is ``MATCHES`` grams longer than what an overlap of ``need`` leaves
+    unmatched, so as many of its grams must meet. A gram is joined inside its block only; block and
+    gram travel as one hash, and pairs of two blocks that a collision might make are left to :func:`score_pairs`.
     """
     size = F.size("grams")
-    base = units.select(*blocks, "uid", "source", size.alias("size"), "grams")
-    prefix = base.select(*blocks, "uid", "source", "size", F.explode(F.slice("grams", F.lit(1), F.greatest((F.col("size") - _least_shared(F.col("size"), overlap) + 1).cast("int"), F.lit(0)))).alias("gram"))
-    every = base.select(*blocks, "uid", "source", "size", F.explode("grams").alias("gram"))
-    side = lambda n, df: df.select(*blocks, "gram", *(F.col(c).alias(f"{c}{n}") for c in ("uid", "source", "size")))
+    need = F.greatest(_least_shared(size, overlap).cast("int"), F.lit(1))
+    few = F.least(need, F.lit(MATCHES))
+    base = units.filter(size > 0).select(F.xxhash64(*blocks).alias("block"), "uid", F.xxhash64("source").alias("source"), "set", size.alias("size"), few.alias("few"), (size - need + few).alias("long"), "grams")
+    rows = lambda grams: base.select("uid", "source", "set", "size", "few", F.explode(F.transform(grams, lambda g: F.xxhash64("block", g))).alias("key"))
+    side = lambda n, df: df.select("key", *(F.col(c).alias(f"{c}{n}") for c in ("uid", "set", "source", "size", "few")))
     smaller = (F.col("size1") < F.col("size2")) | ((F.col("size1") == F.col("size2")) & (F.col("uid1") < F.col("uid2")))
-    pairs = side("1", prefix).join(side("2", every), [*blocks, "gram"]).filter(smaller & (F.col("source1") != F.col("source2")))
+    met = side("1", rows(F.slice("grams", F.lit(1), F.col("long")))).hint("merge").join(side("2", rows(F.col("grams"))).drop("few2"), "key").filter(smaller & (F.col("source1") != F.col("source2")))
+    pairs = met.groupBy("uid1", "set1", "uid2", "set2").agg(F.count(F.lit(1)).alias("n"), F.min("few1").alias("few")).filter("n >= few")
     return pairs.select(F.least("uid1", "uid2").alias("i"), F.greatest("uid1", "uid2").alias("j")).distinct()
 
 
@@ -264,7 +282,7 @@ def _scores(weights: Weights):
     return run, schema
 
 
-def score_pairs(pairs: DataFrame, units: DataFrame, weights: Weights, overlap: float, exact: list[str]) -> DataFrame:
+def score_pairs(pairs: DataFrame, units: DataFrame, blocks: list[str], weights: Weights, overlap: float, exact: list[str]) -> DataFrame:
     """(i, j, score) of pairs that do share ``overlap`` of the smaller gram set, of names or nicknames, or a value of ``exact``: the soft weighted token similarity and the evidence of the attributes."""
     total = units.count()
     often = units.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("often"))
@@ -272,9 +290,9 @@ def score_pairs(pairs: DataFrame, units: DataFrame, weights: Weights, overlap: f
     weight = F.log(F.lit(1.0 + total) / F.col("often")) + 0.3
     weighed = spread.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("at", weight.cast("float").alias("w")))).alias("x"))
     marks = [f"m{k}" for k in range(len(weights.evidence))]
-    full = cut(units.select("uid", "tokens", "nick", "grams", "nick_grams", *marks).join(weighed, "uid").select("uid", F.col("tokens").alias("t"), F.col("x.w").alias("w"), F.col("nick").alias("n"), F.col("grams").alias("g"), F.col("nick_grams").alias("h"), *marks))
-    side = lambda k, name: full.select(F.col("uid").alias(name), *(F.col(c).alias(f"{c}{k}") for c in ("t", "w", "n", "g", "h")), *(F.col(m).alias(f"{m}_{k}") for m in marks))
-    joined = pairs.join(side(1, "i"), "i").join(side(2, "j"), "j")
+    full = cut(units.select("uid", F.xxhash64(*blocks).alias("b"), "tokens", "nick", "grams", "nick_grams", *marks).join(weighed, "uid").select("uid", "b", F.col("tokens").alias("t"), F.col("x.w").alias("w"), F.col("nick").alias("n"), F.col("grams").alias("g"), F.col("nick_grams").alias("h"), *marks))
+    side = lambda k, name: full.select(F.col("uid").alias(name), *(F.col(c).alias(f"{c}{k}") for c in ("b", "t", "w", "n", "g", "h")), *(F.col(m).alias(f"{m}_{k}") for m in marks))
+    joined = side(1, "i").hint("merge").join(pairs, "i").hint("merge").join(side(2, "j"), "j").filter("b1 = b2")
     alike = lambda a, b: (F.size(a) > 0) & (F.size(b) > 0) & (F.size(F.array_intersect(a, b)) >= _least_shared(F.least(F.size(a), F.size(b)), overlap))
     near = reduce(lambda x, y: x | y, [alike(a, b) for a in ("g1", "h1") for b in ("g2", "h2")])
     joined = joined.filter(reduce(lambda a, m: F.coalesce(F.col(f"{m}_1") == F.col(f"{m}_2"), F.lit(False)) | a, exact, near))
@@ -285,14 +303,15 @@ def score_pairs(pairs: DataFrame, units: DataFrame, weights: Weights, overlap: f
 
 def link_variants(
     records: DataFrame, *, key: str, blocks: list[str], source: str, source_id: str, form: str, nickname: str | None, evidence: list[str], weights: Weights, exact: tuple[str, ...] = (),
-    q: int = 3, overlap: float = 0.25,
+    q: int = 3, overlap: float = 0.5,
 ) -> DataFrame:
     """(id_1, id_2): records of one block that name the same thing in forms that look different.
 
-    ``form`` holds canonical forms; ``evidence`` names attribute columns in the order of ``weights.evidence``;
+    ``form`` holds canonical forms; ``evidence`` names attribute columns in the order of ``weights.evidence`` (later weights may be left out);
     ``exact`` those of them that find candidates by themselves.
     """
     ship(records.sparkSession)
+    weights = replace(weights, evidence=weights.evidence[: len(evidence)])
     tokens = _tokens(weights.club)
     nick = tokens(F.col(nickname)) if nickname else F.array().cast("array<string>")
     base = cut(
@@ -306,13 +325,13 @@ def link_variants(
     units = base.groupBy(*node, "form", "tokens", "nick").agg(F.min("id").alias("uid"), *(F.min(m).alias(m) for m in marks))
     own = F.min("uid").over(Window.partitionBy(*node))
     units = cut(units.withColumns({"nid": own, "grams": _grams(F.col("tokens"), q), "nick_grams": _grams(F.col("nick"), q)}))
-    sets = units.select(*blocks, "uid", "source", F.explode(F.array_distinct(F.array("grams", "nick_grams"))).alias("grams")).filter(F.size("grams") > 0)
+    sets = units.select(*blocks, "uid", "source", F.posexplode(F.when(F.col("grams") == F.col("nick_grams"), F.array("grams")).otherwise(F.array("grams", "nick_grams"))).alias("set", "grams")).filter(F.size("grams") > 0)
     found = candidates(sets.withColumn("grams", rarest_first(sets)), blocks, overlap)
     keys = [m for m, c in zip(marks, evidence) if c in exact]
     if keys:
         found = found.unionByName(equal_marks(units, blocks, keys)).distinct()
     ids = units.select("uid", "nid", "source")
-    scored = score_pairs(found, units, weights, overlap, keys).filter(F.col("score") >= weights.accept)
+    scored = score_pairs(found, units, blocks, weights, overlap, keys).filter(F.col("score") >= weights.accept)
     named = scored.join(ids.select(F.col("uid").alias("i"), F.col("nid").alias("a"), F.col("source").alias("sa")), "i")
     named = named.join(ids.select(F.col("uid").alias("j"), F.col("nid").alias("b"), F.col("source").alias("sb")), "j")
     nodes = named.groupBy("a", "sa", "b", "sb").agg(F.max("score").alias("score"))

@@ -99,12 +99,39 @@ def test_clubs(spark):
     assert link(spark, rows, CLUBS) == [(1, 2), (3, 4)]
 
 
+def test_team_is_evidence(spark):
+    """A null team is neutral; another team weighs against a pair, but birth date and shirt outweigh it."""
+    rows = [
+        (1, "m", "x", "1", "Ann Leewood", "1990-01-01", "7", "t"), (2, "m", "y", "1", "Leewood, Ann", "1990-01-01", "7", None), (3, "n", "x", "2", "Bo Marsh", "1991-01-01", "8", "t"),
+        (4, "n", "y", "2", "Marsh, Bo", "1991-01-01", "8", "u"), (5, "o", "x", "3", "Cy Dorn", "1992-01-01", "9", "t"), (6, "o", "y", "3", "Dornn, C.", "1993-01-01", "3", "u"),
+    ]
+    df = spark.createDataFrame(rows, "rid long, m string, src string, pid string, form string, b string, j string, team string")
+    found = link_variants(df, key="rid", blocks=["m"], source="src", source_id="pid", form="form", nickname=None, evidence=["b", "j", "team"], weights=PEOPLE, exact=("b", "j"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 2), (3, 4)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("abcdeßé"), max_size=9), st.text(st.sampled_from("abcdeßé"), max_size=9), st.integers(1, 2))
+def test_letter_sets_bound_edits(a, b, most):
+    """The quick bound leaves the distance as it is: against the plain recursion."""
+    from functools import lru_cache
+
+    @lru_cache(None)
+    def plain(i, j):
+        if not i or not j:
+            return i + j
+        best = min(plain(i - 1, j) + 1, plain(i, j - 1) + 1, plain(i - 1, j - 1) + (a[i - 1] != b[j - 1]))
+        return min(best, plain(i - 2, j - 2) + 1) if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1] else best
+
+    assert edits(a, b, most) == min(plain(len(a), len(b)), most + 1)
+
+
 def test_prefix_filter_loses_nothing(spark):
     """All pairs of sources that share 40 % of the smaller gram set, against brute force."""
     names = ["ann lee", "ana leewood", "leewood", "bo", "anna lee may", "zed zed", "lee"]
     grams = lambda t: {g for w in t.split() for v in ["^" + w + "$"] for g in [v[i : i + 3] for i in range(max(1, len(v) - 2))]}
     df = spark.createDataFrame([(i, "m", f"s{i % 2}", n.split()) for i, n in enumerate(names)], "uid long, b string, source string, tokens array<string>")
-    got = {tuple(r) for r in candidates(df.withColumn("grams", _grams(F.col("tokens"), 3)), ["b"], 0.4).collect()}
+    got = {tuple(r) for r in candidates(df.withColumns({"set": F.lit(0), "grams": _grams(F.col("tokens"), 3)}), ["b"], 0.4).collect()}
     wanted = {(i, j) for i in range(7) for j in range(i + 1, 7) if i % 2 != j % 2 and len(grams(names[i]) & grams(names[j])) >= 0.4 * min(len(grams(names[i])), len(grams(names[j])))}
     assert wanted <= got
 
