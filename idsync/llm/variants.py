@@ -97,20 +97,29 @@ def _letters(text: str) -> int:
 
 
 def edits(a: str, b: str, most: int) -> int:
-    """Edit distance with swaps of neighbours; most + 1 beyond ``most``."""
+    """Edit distance with swaps of neighbours; most + 1 beyond ``most``. Equal ends are skipped, and only cells near the diagonal are filled."""
     if abs(len(a) - len(b)) > most or (_letters(a) ^ _letters(b)).bit_count() > 2 * most:  # an edit changes two letters of the set at most
         return most + 1
-    two: list[int] = []
-    last = list(range(len(b) + 1))
+    start, end_a, end_b = 0, len(a), len(b)
+    while start < end_a and start < end_b and a[start] == b[start]:
+        start += 1
+    while start < end_a and start < end_b and a[end_a - 1] == b[end_b - 1]:
+        end_a, end_b = end_a - 1, end_b - 1
+    a, b = a[start:end_a], b[start:end_b]
+    if not a or not b:
+        return len(a) + len(b)
+    far = most + 1
+    two, last = [], [j if j <= most else far for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+        row = [far] * (len(b) + 1)
+        row[0] = min(i, far)
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != b[j - 1]))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == b[j - 1]:
                 d = min(d, two[j - 2] + 1)
-            row.append(d)
+            row[j] = d if d < far else far
         if min(row) > most:
-            return most + 1
+            return far
         two, last = last, row
     return last[-1]
 
@@ -233,7 +242,7 @@ def candidates(units: DataFrame, blocks: list[str], overlap: float) -> DataFrame
     need = F.greatest(_least_shared(size, overlap).cast("int"), F.lit(1))
     few = F.least(need, F.lit(MATCHES))
     base = units.filter(size > 0).select(F.xxhash64(*blocks).alias("block"), "uid", F.xxhash64("source").alias("source"), "set", size.alias("size"), few.alias("few"), (size - need + few).alias("long"), "grams")
-    rows = lambda grams: base.select("uid", "source", "set", "size", "few", F.explode(F.transform(grams, lambda g: F.xxhash64("block", g))).alias("key"))
+    rows = lambda grams: base.select("block", "uid", "source", "set", "size", "few", F.explode(grams).alias("gram")).withColumn("key", F.xxhash64("block", "gram"))
     side = lambda n, df: df.select("key", *(F.col(c).alias(f"{c}{n}") for c in ("uid", "set", "source", "size", "few")))
     smaller = (F.col("size1") < F.col("size2")) | ((F.col("size1") == F.col("size2")) & (F.col("uid1") < F.col("uid2")))
     met = side("1", rows(F.slice("grams", F.lit(1), F.col("long")))).hint("merge").join(side("2", rows(F.col("grams"))).drop("few2"), "key").filter(smaller & (F.col("source1") != F.col("source2")))
@@ -267,7 +276,7 @@ def _scores(weights: Weights):
         for p in parts:
             rows = []
             for a, b, wa, wb, na, nb, *marks in zip(p.t1, p.t2, p.w1, p.w2, p.n1, p.n2, *(p[f"e{k}"] for k in range(len(weights.evidence)))):
-                s, conflict = name_similarity(list(a), list(b), list(wa), list(wb), weights.club)
+                s, conflict = name_similarity(list(a), list(b), wa.tolist(), wb.tolist(), weights.club)
                 if conflict and (len(na) or len(nb)):
                     for x, y in ((na, b), (a, nb), (na, nb)):
                         # one token of a nickname alone doesn't tie names that are unlike where no attribute agrees
