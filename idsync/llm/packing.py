@@ -10,7 +10,7 @@ window exceeds the capacity. Waste is at most about one container in a shard.
 
 Defined results: a size of 0 or null is an item of size 0 and still gets a container; every
 item comes out whole unless it alone exceeds the capacity; equal sizes merge in order of the
-item id, so a result repeats exactly; an empty table gives an empty result.
+item id, so a result repeats exactly (unless one id has more rows than a shard); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from idsync.runtime import cut, ship
 
 
+MOST_PARTITIONS = 20_000
+
+
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     """The window (0 to k - 1) of each item, by k-way differencing."""
     n = len(sizes)
@@ -87,11 +90,12 @@ def fill_containers(items: DataFrame, key: str, size: str, capacity: int, shard_
     rest = F.col("size") - full * capacity
     count = F.greatest(full + F.when(rest > 0, 1).otherwise(0), F.lit(1))
     pieces = sized.select("id", "size", full.alias("full"), F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("piece"))
-    pieces = cut(pieces.select("id", "piece", F.when(F.col("piece") < F.col("full"), F.lit(capacity)).otherwise(F.col("size") - F.col("full") * capacity).cast("long").alias("size")))
-    shards = max(1, -(-pieces.count() // shard_items))
+    pieces = cut(pieces.select("id", "piece", F.monotonically_increasing_id().alias("row"), F.when(F.col("piece") < F.col("full"), F.lit(capacity)).otherwise(F.col("size") - F.col("full") * capacity).cast("long").alias("size")))
+    total, most = pieces.groupBy("id", "piece").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    shards = max(1, -(-total // shard_items))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["id", "piece"], kind="stable", ignore_index=True)
+        group = group.sort_values(["id", "piece", "size", "row"], kind="stable", ignore_index=True)
         sizes = group["size"].to_numpy()
         whole = sizes >= capacity
         container = np.zeros(len(group), "int64")
@@ -100,6 +104,8 @@ def fill_containers(items: DataFrame, key: str, size: str, capacity: int, shard_
         container[whole] = (windows.max() + 1 if len(windows) else 0) + np.arange(whole.sum())
         return pd.DataFrame({"id": group["id"], "piece_no": group["piece"], "container_id": group["shard"] * (1 << 24) + container, "size": sizes})
 
-    sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)))
-    packed = sharded.groupBy("shard").applyInPandas(run, "id long, piece_no long, container_id long, size long")
+    # an id with more rows than a shard holds is spread by row; a number of partitions of its own keeps heavy shards apart
+    spread = ["id", "piece", "row"] if most > shard_items else ["id", "piece"]
+    sharded = pieces.withColumn("shard", F.pmod(F.xxhash64(*spread), F.lit(shards)))
+    packed = sharded.repartition(min(shards, MOST_PARTITIONS), "shard").groupBy("shard").applyInPandas(run, "id long, piece_no long, container_id long, size long")
     return packed.select(F.col("id").alias(key), "piece_no", "container_id", F.col("size").alias(size))

@@ -1,6 +1,6 @@
 """Repetition inside documents, found by n-gram perplexity.
 
-A modified Kneser-Ney model of order 4 over word hashes. The lower orders are counted by
+A modified Kneser-Ney model of order 4 over 64-bit word hashes. The lower orders are counted by
 Spark over all texts; the highest order is counted per document, so a text that repeats itself
 predicts itself and its perplexity falls far below what is usual in its language, however
 large the corpus. Per language, documents under ``low`` or over ``high`` times the median are
@@ -10,7 +10,7 @@ of the corpus as a whole.
 The n-grams of a document are reduced to distinct ones with their counts, and those of their
 contexts, before anything moves. The lower orders are counted on distinct n-grams, combined
 before the shuffle, so copies of a text add nothing to them, and are kept as a table of
-sorted word hashes. Documents meet it in one equi-join, where a hot n-gram is only hot on the
+sorted word hashes (a Parquet table per run, sorted inside its files). Documents meet it in one equi-join, where a hot n-gram is only hot on the
 side of the documents and adaptive execution splits it.
 
 The share of repeated content is then measured exactly on the rejected documents: letters
@@ -23,8 +23,9 @@ and are not rejected; a null language is a language of its own; repeated rows co
 
 from __future__ import annotations
 
-import zlib
+import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -51,39 +52,66 @@ def words(text: str | None) -> list[str]:
     return [x for w in found for x in (_SINGLE.findall(w) if len(w) > 20 else (w,))]
 
 
+_NO_LETTER = re.compile(r"[\W\d_]+")
+
+
+def _letters(text: str | None) -> str:
+    plain = _NO_LETTER.sub("", text.lower()) if text else ""
+    return plain if not plain or plain.isalpha() else "".join(filter(str.isalpha, plain))
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """64-bit numbers whose bits all depend on all bits of the given ones."""
+    x = values.astype("uint64") + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _windows(values: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of every run of ``size`` values, from those of runs half as long."""
+    base = 0xD6E8FEB86659FD93
+    done, length, grown, step = None, 0, _mixed(values), 1
+    while True:
+        if size & step:
+            n = len(values) - length - step + 1
+            done = grown[:n].copy() if done is None else done[:n] * np.uint64(pow(base, step, 1 << 64)) + grown[length : length + n]
+            length += step
+        if length == size:
+            return _mixed(done)
+        grown = grown[: len(grown) - step] * np.uint64(pow(base, step, 1 << 64)) + grown[step:]
+        step *= 2
+
+
 def repeated_share(text: str | None, passage: int = 20) -> float:
     """The share of a text's letters that lie in a second or later copy of a passage of ``passage`` letters or more."""
-    letters = "".join(c for c in text.lower() if c.isalpha()) if text else ""
+    letters = _letters(text)
     n = len(letters)
     if n <= passage:
         return 0.0
-    seen: set[str] = set()
-    covered, end = 0, 0
-    for i in range(n - passage + 1):
-        window = letters[i : i + passage]
-        if window in seen:
-            covered += i + passage - max(end, i)
-            end = i + passage
-        else:
-            seen.add(window)
-    return covered / n
+    hashes = _windows(np.frombuffer(letters.encode("utf-32-le"), "uint32"), passage)
+    _, first, group = np.unique(hashes, return_index=True, return_inverse=True)
+    again = np.flatnonzero(first[group] < np.arange(len(hashes)))
+    change = np.zeros(n + 1, "int64")
+    np.add.at(change, again, 1)
+    np.add.at(change, again + passage, -1)
+    return float((np.cumsum(change[:n]) > 0).sum()) / n
 
 
 def _counted(row: list[int]) -> tuple[np.ndarray, ...]:
-    """Distinct 4-grams of one document with their counts, those of their contexts, and how many n-grams of count 1, 2 and more follow the context."""
-    padded = np.array([0] * (ORDER - 1) + row, "int64").astype("int32")
-    grams, n = np.unique(np.lib.stride_tricks.sliding_window_view(padded, ORDER), axis=0, return_counts=True)
-    new = np.ones(len(n), bool)
-    new[1:] = (grams[1:, :-1] != grams[:-1, :-1]).any(axis=1)
-    context = np.cumsum(new) - 1
+    """Distinct 4-grams of one document (their hash and last three words) with their counts, those of their contexts, and how many n-grams of count 1, 2 and more follow the context."""
+    padded = np.array([0] * (ORDER - 1) + row, "int64")
+    whole, context = _windows(padded.view("uint64"), ORDER), _windows(padded.view("uint64")[:-1], ORDER - 1)
+    grams, first, n = np.unique(whole, return_index=True, return_counts=True)
+    _, context = np.unique(context[first], return_inverse=True)
     per = lambda weight: np.bincount(context, weight)[context].astype("int32")
-    return grams, n.astype("int32"), per(n), per(n == 1), per(n == 2), per(n >= 3)
+    return grams.view("int64"), padded[first + 1], padded[first + 2], padded[first + 3], n.astype("int32"), per(n), per(n == 1), per(n == 2), per(n >= 3)
 
 
 def document_grams(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, t1 to t4, n, b4, k40, k41, k42): the distinct 4-grams of each document as word hashes, with counts; 0 stands before the text."""
+    """(doc, g, t2, t3, t4, n, b4, k40, k41, k42): the distinct 4-grams of each document as a hash and their last words as 64-bit hashes, with counts; 0 stands before the text."""
     ship(docs.sparkSession)
-    names = ["doc", "t1", "t2", "t3", "t4", "n", "b4", "k40", "k41", "k42"]
+    names = ["doc", "g", "t2", "t3", "t4", "n", "b4", "k40", "k41", "k42"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
@@ -98,17 +126,16 @@ def document_grams(docs: DataFrame, key: str, text: str) -> DataFrame:
                         if (c := codes.get(w)) is None:
                             if len(codes) > 100_000:
                                 codes.clear()
-                            c = codes[w] = (zlib.crc32(w.encode()) or 1) - (1 << 31)
+                            c = codes[w] = int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "little", signed=True) or 1
                         row.append(c)
                     if row:
                         parts.append(_counted(row))
-                        ids.append(np.full(len(parts[-1][1]), doc, "int64"))
+                        ids.append(np.full(len(parts[-1][0]), doc, "int64"))
                 if ids:
-                    grams = np.ascontiguousarray(np.concatenate([p[0] for p in parts]).T)
-                    rest = [np.concatenate([p[i] for p in parts]) for i in range(1, 6)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(ids), *grams, *rest)], names=names)
+                    columns = [np.concatenate(p) for p in zip(*parts)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(ids), *columns)], names=names)
 
-    schema = "doc long, " + ", ".join(f"{c} int" for c in names[1:])
+    schema = "doc long, g long, t2 long, t3 long, t4 long, " + ", ".join(f"{c} int" for c in names[5:])
     return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).dropna().mapInArrow(run, schema)
 
 
@@ -163,11 +190,13 @@ def perplexities(docs: DataFrame, key: str, text: str) -> DataFrame:
     where = scratch(spark, "grams")
     document_grams(docs, key, text).write.parquet(f"{where}/documents")
     grams = spark.read.parquet(f"{where}/documents")
-    types = grams.select("t1", "t2", "t3", "t4").distinct()
+    types = grams.select("g", "t2", "t3", "t4").distinct()
     types.groupBy("t2", "t3", "t4").agg(F.count(F.lit(1)).alias("c3")).sortWithinPartitions("t2", "t3", "t4").write.parquet(f"{where}/triples")
     d4 = _discounts(_count_of_counts(grams, "n"))
     p4 = _probability(F.col("n"), F.col("b4"), [F.col(f"k4{i}") for i in range(3)], d4, F.col("p3"))
-    scored = grams.drop("t1").join(trigram_probabilities(spark.read.parquet(f"{where}/triples")), ["t2", "t3", "t4"])
+    triple = F.xxhash64("t2", "t3", "t4").alias("triple")
+    lower = trigram_probabilities(spark.read.parquet(f"{where}/triples")).select(triple, "p3")
+    scored = grams.select("doc", triple, "n", "b4", "k40", "k41", "k42").join(lower, "triple")
     scored = scored.select("doc", "n", F.log(p4).alias("lp")).groupBy("doc").agg(F.sum(F.col("n") * F.col("lp")).alias("s"), F.sum("n").alias("words"))
     return scored.select("doc", F.exp(-F.col("s") / F.col("words")).alias("perplexity"))
 
