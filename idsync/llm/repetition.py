@@ -218,6 +218,10 @@ def share_of_copies(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(repeated_share)
 
 
+# Called non-deterministic so that the optimiser leaves it behind the join with the rejected documents.
+share_of_copies = share_of_copies.asNondeterministic()
+
+
 def repetitive(docs: DataFrame, key: str, text: str, language: str, least: float = 1 / 3) -> DataFrame:
     """(key, share) of the documents that the bands reject and whose repeated share is at least ``least``."""
     rejected = banded(docs, key, text, language).filter("band <> 'inside'").select(key)
