@@ -95,7 +95,11 @@ class Content:
         return self
 
     def id_columns(self) -> list[str]:
-        return [c for c in self.data.columns if c.endswith(f"_{self.object_type}_id")]
+        return [c for c in self.data.columns if f"_{self.object_type}_id" in c]
+
+    def sorted(self, columns: list[str]) -> DataFrame:
+        """The rows in order of ``columns``, for a last step that is read in order."""
+        return self.data.orderBy(*columns)
 
     def merge(self, right: Content | None) -> Content:
         """Attach the right side's ids by the right side's own id; ids already present win."""

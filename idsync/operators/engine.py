@@ -13,6 +13,7 @@ their key says nothing); a provider that is absent from a block is not part of i
 from __future__ import annotations
 
 import logging
+from dataclasses import replace
 from functools import reduce
 from itertools import combinations
 
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from idsync.functions.dates import parse_date, shift_date, swap_month_day
 from idsync.functions.text import normalize
 from idsync.operators.content import POS, Content, ContractError
-from idsync.operators.matchers import PlayerLayer, Similarity, apply_layer, match_players, match_teams, pairs_of
-from idsync.runtime import cut, ship
+from idsync.operators.matchers import PlayerLayer, Similarity, apply_layer, match_players, match_teams, pairs_of, player_layers
+from idsync.runtime import cut, ship, tasks
 
 log = logging.getLogger("idsync")
 WINDOWS = {"observed": 1, "documented": 3}
@@ -36,6 +37,7 @@ class SyncEngine:
     object_type: str = ""
     texts: tuple[str, ...] = ()
     columns: tuple[str, ...] = ()
+    keeps_first = True  # rows of a pair's first side stay, paired or not
 
     def __init__(self, content: list[Content], join_columns: list[str], object_type: str | None = None, verbose: bool = False):
         self.verbose = verbose
@@ -67,6 +69,8 @@ class SyncEngine:
         for c, f in zip((a, b), fields):
             if f not in c.data.columns:
                 raise ContractError(f"content of {c.provider} has no column {f}")
+            if not self.block and c.data.select(f).dropna().isEmpty():  # with blocks, one without a text finds nothing
+                raise ContractError(f"content of {c.provider} has no value in {f}")
         named = [c.with_data(c.data.withColumn("_text", F.col(f))) for c, f in zip((a, b), fields)]
         self.say(f"{method.value} similarity of {a.provider} and {b.provider} on {fields}")
 
@@ -76,6 +80,7 @@ class SyncEngine:
         return self._kernel_pairs(*named, run, {}, ("_text",), ("_text",))
 
     def _prepared(self, c: Content, extra: dict, texts: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:
+        # a missing column is null; which fields count is decided on the schema of the first side (see synchronize_pair)
         names = {n: F.col(n) if n in c.data.columns else F.lit(None).cast("string") for n in columns}
         cells = {**names, **{f"n_{t}": normalize(names[t]) for t in texts}, **{k: f(names) for k, f in extra.items()}}
         blocks = [F.concat(F.col(k)).alias(k) for k in self.block] or [F.lit(0).alias("_one")]  # new columns on either side, as both may come from one table
@@ -97,6 +102,9 @@ class SyncEngine:
             x, y = (d.sort_values(POS, kind="stable").astype(object).where(lambda f: f.notna(), None).reset_index(drop=True) for d in (x, y))
             return pd.DataFrame([(*block, i, j) for i, j in run(x, y)], columns=names)
 
+        # a number of partitions of its own: blocks are small in bytes and heavy to match, so they must not be joined into few tasks
+        parts = tasks(a.data.sparkSession)
+        left, right = (df.repartition(parts, *keys) for df in (left, right))
         found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(both, schema)
         return cut(found.select(*self.block, a.id_field, b.id_field))
 
@@ -110,11 +118,12 @@ class SyncEngine:
             return paired
         return paired.unionByName(rest, allowMissingColumns=True)
 
-    def synchronize_all_combinations(self, content: list[Content] | None = None) -> Content:
+    def synchronize_all_combinations(self, content: list[Content] | None = None, empty: frozenset[str] = frozenset()) -> Content:
+        """All pairs, folded onto the first; ``empty`` names providers without any row, whose pairs need no plan: the other side stands in."""
         pairs = []
         for a, b in combinations(content or self.content, 2):
             self.say(f"pair {a.provider} and {b.provider}")
-            pairs.append(self.synchronize_pair(a, b))
+            pairs.append(a.with_data(a.data.unionByName(b.data, allowMissingColumns=True)) if a.provider in empty else self.synchronize_pair(a, b))
         return reduce(lambda x, y: x.merge(y), pairs[1:], pairs[0])
 
     def _unsynced(self, c: Content, synced: DataFrame) -> DataFrame:
@@ -135,8 +144,9 @@ class SyncEngine:
         rows = cut(rank(first.data, 1, 0))
         if len(self.content) > 1:
             rows = cut(rows.unionByName(rank(self._second_layer(rows), 2, 0)))
-        for k, c in enumerate(self.content):
-            rows = rows.unionByName(rank(self._unsynced(c, rows), 3, k))
+        # a provider's rest depends on its own ids only, which the other rests don't carry; so all are taken from the same rows
+        rests = [rank(self._unsynced(c, rows), 3, k) for k, c in enumerate(self.content)]
+        rows = reduce(lambda x, y: x.unionByName(y), rests, rows)
         return Content(self.object_type, self.content[0].provider, self._deduplicated(rows, ids), tuple(self.block))
 
     def _with_all(self, df: DataFrame, columns: list[str]) -> DataFrame:
@@ -145,7 +155,7 @@ class SyncEngine:
     def _second_layer(self, rows: DataFrame) -> DataFrame:
         """Pairs among the remainders, kept where every provider with a remainder in the block took part."""
         left = [c.with_data(cut(self._unsynced(c, rows))) for c in self.content]
-        found = self.synchronize_all_combinations(left).data
+        found = self.synchronize_all_combinations(left, frozenset(c.provider for c in left if self.keeps_first and c.data.isEmpty())).data
         flags = reduce(lambda a, b: a.unionByName(b), [c.data.select(*self.block, F.lit(c.id_field).alias("field")) for c in left])
         open_ = flags.groupBy(*self.block).agg(F.collect_set("field").alias("open"))
         found = found.join(open_, self.block) if self.block else found.withColumn("open", F.lit([r for r in open_.first()[0]] or [""]))
@@ -181,11 +191,11 @@ class MatchSyncEngine(SyncEngine):
         self.days = WINDOWS[date_window]
 
     def on_adjusted_dates(self, a: Content, b: Content, days: int) -> DataFrame:
-        """(block, id a, id b) of equal teams with dates at most ``days`` apart; one join for all shifts."""
-        x = a.data.select(*self.block, *self.teams_outside, a.id_field, parse_date(F.col("match_date")).alias("_x"))
+        """(block, id a, id b) of equal teams with dates at most ``days`` apart; one equi-join on teams and date, with every shift of one side."""
+        x = a.data.select(*self.block, *self.teams_outside, a.id_field, parse_date(F.col("match_date")).alias("_day"))
         y = b.data.select(*self.block, *self.teams_outside, b.id_field, parse_date(F.col("match_date")).alias("_y"))
-        near = F.abs(F.datediff("_x", "_y")) <= days
-        return x.join(y, [*self.block, *self.teams_outside]).filter(near).select(*self.block, a.id_field, b.id_field).dropna().distinct()
+        x = x.select(*self.block, *self.teams_outside, a.id_field, F.explode(F.transform(F.sequence(F.lit(-days), F.lit(days)), lambda k: F.date_add("_day", k))).alias("_y"))
+        return x.join(y, [*self.block, *self.teams_outside, "_y"]).select(*self.block, a.id_field, b.id_field).dropna().distinct()
 
     def on_matchday(self, a: Content, b: Content) -> DataFrame:
         """(block, id a, id b) of equal teams and matchday; two unknown matchdays count as equal."""
@@ -222,9 +232,13 @@ class TeamSyncEngine(SyncEngine):
         super().__init__(content, ["team_name", *context], verbose=verbose)
         _need(content, context)
 
-    def synchronize_pair(self, a: Content, b: Content) -> Content:
+    def on_equal_names(self, a: Content, b: Content) -> DataFrame:
+        """(block, id a, id b) of equal names in equal competitions and seasons."""
         keys = [*self.block, *(c for c in self.join_columns if c not in self.block)]
-        exact = a.data.select(*keys, a.id_field).join(b.data.select(*keys, b.id_field), keys).select(*self.block, a.id_field, b.id_field).dropna()
+        return a.data.select(*keys, a.id_field).join(b.data.select(*keys, b.id_field), keys).select(*self.block, a.id_field, b.id_field).dropna()
+
+    def synchronize_pair(self, a: Content, b: Content) -> Content:
+        exact = self.on_equal_names(a, b)
         left, right = (c.with_data(self._unsynced(c, exact)) for c in (a, b))
         pairs = exact.unionByName(self._kernel_pairs(left, right, match_teams, {}))
         own = a.data.drop(b.id_field)
@@ -235,6 +249,7 @@ class PlayerSyncEngine(SyncEngine):
     """Players by up to 26 layers of name similarity with shirt, team and birth date."""
 
     object_type = "player"
+    keeps_first = False
     texts = ("player_name", "player_nickname")
     columns = ("player_name", "player_nickname", "jersey_number", "team_id", "birth_date")
 
@@ -244,6 +259,9 @@ class PlayerSyncEngine(SyncEngine):
     def pairs_by_layer(self, a: Content, b: Content, layer: PlayerLayer) -> DataFrame:
         """(block, id a, id b) of one strategy, with its attribute checks and unique on both sides."""
         self.say(f"layer {layer.title} on {a.provider} and {b.provider}")
+        available = tuple(f for f in layer.equal if f in a.data.columns)  # what the first side lacks is not checked
+        self._has(b, available)
+        layer = replace(layer, equal=available)
         shifts = {-1, 0} | ({layer.date_shift} if layer.date_shift is not None else set())
         return self._kernel_pairs(a, b, lambda x, y: apply_layer(x, y, layer), _shifted(shifts))
 
@@ -263,9 +281,18 @@ class PlayerSyncEngine(SyncEngine):
             reliable = bool(keys.first()[0])
             flagged, right = a, b
             extra["_jersey"] = lambda n: F.lit(reliable)
-        pairs = self._kernel_pairs(flagged, right, _players, extra)
-        kept = [*self.block, POS, *(c for c in ("player_name", "player_nickname", "jersey_number", "team_id") if c in a.data.columns), *(c for c in a.id_columns() if c != b.id_field)]
-        return a.with_data(a.data.select(*kept).join(pairs, [*self.block, a.id_field]))
+        lacking = tuple(c for c in ("jersey_number", "team_id", "birth_date") if c not in a.data.columns)
+        self._has(b, tuple(c for c in ("jersey_number", "team_id") if c not in lacking))
+        pairs = self._kernel_pairs(flagged, right, _matcher(lacking), extra)
+        return a.with_data(self.metadata(a).drop(b.id_field).join(pairs, [*self.block, a.id_field]))
+
+    def _has(self, b: Content, fields: tuple[str, ...]) -> None:
+        if missing := [f for f in fields if f not in b.data.columns]:
+            raise ContractError(f"content of {b.provider} lacks {', '.join(missing)}")
+
+    def metadata(self, a: Content) -> DataFrame:
+        """What a paired row keeps of its first side: names, shirt, team and ids."""
+        return a.data.select(*self.block, POS, *(c for c in ("player_name", "player_nickname", "jersey_number", "team_id") if c in a.data.columns), *a.id_columns())
 
 
 def _shifted(days: set[int]) -> dict:
@@ -274,8 +301,16 @@ def _shifted(days: set[int]) -> dict:
     return plain | {f"s{d}": lambda n, d=d: swap_month_day(n["birth_date"], d) for d in sorted(days)}
 
 
-def _players(left: pd.DataFrame, right: pd.DataFrame) -> list[tuple[str, str]]:
-    return match_players(left, right, bool(left["_jersey"].iloc[0]))
+def _matcher(lacking: tuple[str, ...]):
+    """All layers on one block; checks of fields that the first side lacks are left out."""
+
+    def layers(with_birth: bool, with_jersey: bool) -> list[PlayerLayer]:
+        return [replace(x, equal=tuple(f for f in x.equal if f not in lacking)) for x in player_layers(with_birth, with_jersey)]
+
+    def players(left: pd.DataFrame, right: pd.DataFrame) -> list[tuple[str, str]]:
+        return match_players(left, right, bool(left["_jersey"].iloc[0]), layers)
+
+    return players
 
 
 def _need(content: list[Content], columns: list[str]) -> None:

@@ -33,3 +33,26 @@ def best_partner(edges: DataFrame, block: list[str], least: float) -> DataFrame:
     order = Window.partitionBy(*block, "i").orderBy(F.desc("similarity"), "j")
     limit = max(min(least, 1.0), 0.0)
     return edges.filter(F.col("similarity") >= limit).withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r")
+
+
+def ranked(edges: DataFrame, by: list[str], most: int) -> DataFrame:
+    """Edges with their dense rank by similarity within ``by``, up to rank ``most``."""
+    return edges.withColumn("rank", F.dense_rank().over(Window.partitionBy(*by).orderBy(F.desc("similarity")))).filter(F.col("rank") <= most)
+
+
+def agreeing(pairs: DataFrame, left: DataFrame, right: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """The pairs (i, j) whose records agree in all ``fields`` that the left side has; null agrees with nothing, a field that only the right side lacks is an error."""
+    used = [f for f in fields if f in left.columns]
+    if missing := [f for f in used if f not in right.columns]:
+        raise ValueError(f"the right side lacks {', '.join(missing)}")
+    side = lambda df, name: df.select(F.col(key).alias(name), *(F.col(f).alias(f"{f}_{name}") for f in used))
+    joined = pairs.join(side(left, "i"), "i").join(side(right, "j"), "j")
+    for f in used:
+        joined = joined.filter(F.col(f"{f}_i") == F.col(f"{f}_j"))
+    return joined.select("i", "j")
+
+
+def back_join(pairs: DataFrame, left: DataFrame, right: DataFrame, block: list[str], key: str, text: str) -> DataFrame:
+    """(block, i, j) of all records that bear the raw texts of ``pairs`` (x on the left, y on the right)."""
+    side = lambda df, name, t: df.select(*block, F.col(text).alias(t), F.col(key).alias(name))
+    return pairs.join(side(left, "i", "x"), [*block, "x"]).join(side(right, "j", "y"), [*block, "y"]).select(*block, "i", "j")

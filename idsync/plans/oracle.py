@@ -154,9 +154,49 @@ edges AS (SELECT x.competition_id, x.season_id, x.id AS i, y.id AS j, round(sum(
   FROM u x JOIN u y USING (competition_id, season_id, gram) WHERE x.side = 1 AND y.side = 2 GROUP BY ALL)
 """
 
-_WIDE = f"""SELECT link_id, {strip('left_object_id')} AS a_id, {strip('right_object_id')} AS b_id FROM id_links
-  WHERE object_type = 'team' AND left_provider = 'provider_a' AND right_provider = 'provider_b'"""
-_SQUISHED = f"SELECT a_id, CASE WHEN count(DISTINCT b_id) <= 1 THEN min(b_id) END AS b_id FROM ({_WIDE}) WHERE a_id IS NOT NULL GROUP BY a_id"
+def _own(p: str) -> str:
+    side = lambda s: f"WHEN {s}_provider = 'provider_{p}' AND {s}_object_id IS NOT NULL THEN object_type || ':' || {strip(s + '_object_id')}"
+    return f"CASE {side('left')} {side('right')} END AS {p}_id"
+
+
+_WIDE = f"SELECT link_id, {', '.join(map(_own, 'abc'))} FROM id_links"
+
+
+def _only(c: str) -> str:
+    return f"CASE WHEN count(DISTINCT {c}) <= 1 THEN min({c}) END AS {c}"
+
+
+_SQUISHED = f"SELECT a_id, {_only('b_id')}, {_only('c_id')} FROM ({_WIDE}) WHERE a_id IS NOT NULL GROUP BY a_id"
+
+
+def _knock_out(ids: tuple[str, ...]) -> str:
+    """CTEs of the loop: known and open rows after each provider."""
+    steps, known, rest = [], "k", "o"
+    for n, key in enumerate(ids):
+        others = [c for c in ids if c != key]
+        steps.append(f"""s{n} AS (SELECT {key}, {', '.join(map(_only, others))} FROM {rest} WHERE {key} IN (SELECT {key} FROM {known} WHERE {key} IS NOT NULL) GROUP BY {key}),
+        k{n} AS (SELECT {key}, {', '.join(f'coalesce(t.{c}, u.{c}) AS {c}' for c in others)} FROM (SELECT * FROM {known} WHERE {key} IS NOT NULL) t FULL JOIN s{n} u USING ({key})
+          UNION ALL BY NAME SELECT {', '.join(ids)} FROM {known} WHERE {key} IS NULL),
+        o{n} AS (SELECT * FROM {rest} WHERE {key} IS NULL OR {key} NOT IN (SELECT {key} FROM k{n} WHERE {key} IS NOT NULL))""")
+        known, rest = f"k{n}", f"o{n}"
+    return ", ".join(steps) + f" SELECT {', '.join(ids)} FROM {known}"
+
+
+# Greedy choice in order: each left text that has no equal takes the first free right text whose token set contains or is contained.
+NAIVE_MATCH = f"""
+WITH RECURSIVE n AS ({_NORM}), f AS (SELECT competition_id || '|' || season_id AS b, competition_id, season_id, data_provider, t, min(record_id) AS id, list_distinct(string_split_regex(t, '\\s+')) AS s
+  FROM n WHERE t IS NOT NULL AND data_provider IN ('provider_a', 'provider_b') GROUP BY ALL),
+x AS (SELECT * FROM f WHERE data_provider = 'provider_a'), y AS (SELECT * FROM f WHERE data_provider = 'provider_b'),
+equal AS (SELECT x.b, x.id AS i, y.id AS j FROM x JOIN y ON x.b = y.b AND x.t = y.t),
+edges AS (SELECT x.b, x.id AS i, list_sort(list(y.id)) AS js FROM x JOIN y ON x.b = y.b WHERE (list_has_all(x.s, y.s) OR list_has_all(y.s, x.s))
+  AND x.id NOT IN (SELECT i FROM equal) AND y.id NOT IN (SELECT j FROM equal) GROUP BY ALL),
+lefts AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY i) AS n FROM edges),
+walk AS (SELECT DISTINCT b, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS i, CAST(NULL AS BIGINT) AS j FROM lefts
+  UNION ALL SELECT w.b, l.n, list_append(w.used, list_filter(l.js, lambda q: NOT list_contains(w.used, q))[1]), l.i, list_filter(l.js, lambda q: NOT list_contains(w.used, q))[1]
+  FROM walk w JOIN lefts l ON l.b = w.b AND l.n = w.n + 1)
+SELECT split_part(b, '|', 1) AS competition_id, split_part(b, '|', 2) AS season_id, CAST(i AS VARCHAR) AS i, CAST(j AS VARCHAR) AS j
+FROM (SELECT b, i, j FROM equal UNION ALL SELECT b, i, j FROM walk WHERE j IS NOT NULL)
+"""
 
 
 def _text(key: str, table: str, expression: str) -> str:
@@ -282,11 +322,12 @@ ORACLE = {
     + ", ".join(f"arg_min(provider_team_id, record_id) FILTER (data_provider = 'provider_{p}') AS provider_{p}_team_id" for p in "abc")
     + " FROM n GROUP BY ALL",
     "knockout_squish": _SQUISHED,
-    "knockout_upsert": f"""WITH r AS ({_SQUISHED}), k AS (SELECT a_id, CASE WHEN a_id LIKE '%1' THEN NULL ELSE b_id END AS b_id FROM r WHERE length(a_id) % 2 = 0)
-      SELECT a_id, coalesce(k.b_id, r.b_id) AS b_id FROM r LEFT JOIN k USING (a_id)""",
-    "knockout_antijoin": f"WITH r AS ({_WIDE}), k AS (SELECT * FROM r WHERE link_id % 10 = 0) SELECT * FROM r WHERE (a_id IS NULL OR a_id NOT IN (SELECT a_id FROM k WHERE a_id IS NOT NULL)) AND (b_id IS NULL OR b_id NOT IN (SELECT b_id FROM k WHERE b_id IS NOT NULL))",
-    "flag_duplicates": f"""WITH r AS ({_WIDE}) SELECT link_id, a_id, b_id, (a_id IS NOT NULL AND row_number() OVER (PARTITION BY a_id ORDER BY link_id) > 1)
-      OR (b_id IS NOT NULL AND row_number() OVER (PARTITION BY b_id ORDER BY link_id) > 1) AS is_duplicate FROM r""",
+    "knockout_upsert": f"""WITH r AS ({_SQUISHED}), k AS (SELECT a_id, CASE WHEN a_id LIKE '%1' THEN NULL ELSE b_id END AS b_id, c_id FROM r WHERE length(a_id) % 2 = 0)
+      SELECT a_id, coalesce(k.b_id, r.b_id) AS b_id, coalesce(k.c_id, r.c_id) AS c_id FROM r LEFT JOIN k USING (a_id)""",
+    "knockout_loop": f"WITH w AS ({_WIDE}), k AS (SELECT a_id, {_only('b_id')}, {_only('c_id')} FROM w WHERE link_id % 10 = 0 AND a_id IS NOT NULL GROUP BY a_id), o AS (SELECT * FROM w WHERE link_id % 10 <> 0), " + _knock_out(("a_id", "b_id", "c_id")),
+    "naive_match": NAIVE_MATCH,
+    "knockout_antijoin": f"WITH r AS ({_WIDE}), k AS (SELECT * FROM r WHERE link_id % 10 = 0) SELECT * FROM r WHERE " + " AND ".join(f"({c} IS NULL OR {c} NOT IN (SELECT {c} FROM k WHERE {c} IS NOT NULL))" for c in ("a_id", "b_id", "c_id")),
+    "flag_duplicates": f"WITH r AS ({_WIDE}) SELECT *, " + " OR ".join(f"({c} IS NOT NULL AND row_number() OVER (PARTITION BY {c} ORDER BY link_id) > 1)" for c in ("a_id", "b_id", "c_id")) + " AS is_duplicate FROM r",
     "metadata_priority": "SELECT competition_id, season_id, team_gender, ussf_country_id, coalesce("
     + ", ".join(f"max(team_name) FILTER (data_provider = 'provider_{p}')" for p in "bac")
     + ") AS team_name FROM team_records GROUP BY ALL",

@@ -15,6 +15,7 @@ from idsync.operators.engine import MatchSyncEngine, PlayerSyncEngine, TeamSyncE
 from idsync.operators.kernels import cosine_match, fuzzy_match, naive_match
 from idsync.operators.similarity import best_partner, tfidf_edges
 from idsync.plans import pipeline
+from idsync.runtime import ship, tasks
 from idsync.sources.frames import clean_suffixes, coalesce_suffixes, collect_union, split_by_provider
 
 
@@ -195,8 +196,6 @@ def naive_subset_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _kernel_query(run):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from idsync.runtime import ship
-
         ship(spark)
         a, b, block = _team_sides(spark, sf_dir)
         side = lambda df: df.select(*(F.concat(b).alias(b) for b in block), F.col("record_id").cast("string").alias("id"), F.col("record_id").alias(POS), F.concat("team_name").alias("team_name"), text.normalize(F.col("team_name")).alias("n"))
@@ -210,7 +209,8 @@ def _kernel_query(run):
             keys = x[block].iloc[0].tolist()
             return pd.DataFrame([(*keys, i, j) for i, j in run(*rows)], columns=[*block, "i", "j"])
 
-        return side(a).groupBy(*block).cogroup(side(b).groupBy(*block)).applyInPandas(pairs, "competition_id string, season_id string, i string, j string")
+        left, right = (side(df).repartition(tasks(spark), *block) for df in (a, b))
+        return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(pairs, "competition_id string, season_id string, i string, j string")
 
     return query
 
@@ -254,35 +254,40 @@ def dedupe_first_non_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- pipeline --------------------------------------------------------------------------------
 
 
+IDS = ["a_id", "b_id", "c_id"]
+
+
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Crosswalk rows of two providers, as links name them."""
-    rows = _read(spark, sf_dir, "id_links").filter("object_type = 'team' and left_provider = 'provider_a' and right_provider = 'provider_b'")
-    return rows.select("link_id", text.strip(F.col("left_object_id")).alias("a_id"), text.strip(F.col("right_object_id")).alias("b_id"))
+    """Every link as a crosswalk row of three providers; ids carry their object type."""
+    rows = _read(spark, sf_dir, "id_links")
+    own = lambda p: F.coalesce(*(F.when(F.col(f"{s}_provider") == f"provider_{p}", F.concat_ws(":", "object_type", text.strip(F.col(f"{s}_object_id")))) for s in ("left", "right")))
+    known = lambda p: F.coalesce(*(F.when(F.col(f"{s}_provider") == f"provider_{p}", F.col(f"{s}_object_id")) for s in ("left", "right"))).isNotNull()
+    return rows.select("link_id", *(F.when(known(p), own(p)).alias(f"{p}_id") for p in "abc"))
 
 
 def knockout_squish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.squish(_wide(spark, sf_dir), "a_id", ["b_id"])
+    return pipeline.squish(_wide(spark, sf_dir), "a_id", ["b_id", "c_id"])
 
 
 def knockout_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pipeline.squish(_wide(spark, sf_dir), "a_id", ["b_id"])
+    rows = pipeline.squish(_wide(spark, sf_dir), "a_id", ["b_id", "c_id"])
     known = rows.filter(F.length("a_id") % 2 == 0).withColumn("b_id", F.when(F.col("a_id").endswith("1"), F.lit(None)).otherwise(F.col("b_id")))
     return pipeline.fill_upsert(known, rows, "a_id")
 
 
 def knockout_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _wide(spark, sf_dir)
-    return pipeline.drop_known(rows, rows.filter("link_id % 10 = 0"), ["a_id", "b_id"])
+    return pipeline.drop_known(rows, rows.filter("link_id % 10 = 0"), IDS)
 
 
 def knockout_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _wide(spark, sf_dir)
-    known = pipeline.squish(rows.filter("link_id % 10 = 0"), "a_id", ["b_id"])
-    return pipeline.knock_out(rows.filter("link_id % 10 <> 0"), known, ["a_id", "b_id"])[1]
+    known = pipeline.squish(rows.filter("link_id % 10 = 0"), "a_id", ["b_id", "c_id"])
+    return pipeline.knock_out(rows.filter("link_id % 10 <> 0"), known, IDS)[1]
 
 
 def flag_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.flag_duplicates(_wide(spark, sf_dir), ["a_id", "b_id"], ["link_id"])
+    return pipeline.flag_duplicates(_wide(spark, sf_dir), IDS, ["link_id"])
 
 
 def metadata_priority(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,11 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
+def tasks(spark: SparkSession) -> int:
+    """A number of partitions for work that is heavier than its bytes show."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers that don't share the driver's path, by way of the shared folder."""
     app = spark.sparkContext.applicationId

@@ -17,8 +17,14 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -
     return reader.csv(path)
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+def read_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """JSON documents (one per file), or with ``multi_line=False`` one object per line, which splits large files."""
+    return spark.read.option("multiLine", multi_line).json(path)
+
+
+def unnest(df: DataFrame, column: str, fields: dict[str, str], keep: list[str]) -> DataFrame:
+    """A row for each element of the list ``column``: the columns ``keep`` and ``fields`` (name: path inside the element)."""
+    return df.select(*keep, F.explode(column).alias("_e")).select(*keep, *(F.col(f"_e.{path}").alias(name) for name, path in fields.items()))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -36,10 +42,15 @@ def id_text(c: Column) -> Column:
     return F.regexp_replace(c.cast("string"), r"\.0+$", "")
 
 
-def split_by_provider(long: DataFrame, object_type: str, providers: list[str]) -> dict[str, DataFrame]:
-    """One frame per provider with its own id column; ``providers`` is sorted into the order of the result."""
+def providers_of(long: DataFrame) -> list[str]:
+    """The providers that have rows, sorted; there are few of them."""
+    return sorted(r[0] for r in long.select("data_provider").dropna().distinct().collect())
+
+
+def split_by_provider(long: DataFrame, object_type: str, providers: list[str] | None = None) -> dict[str, DataFrame]:
+    """One frame per provider with its own id column, in order of their names; without ``providers`` those that have rows."""
     generic, out = f"provider_{object_type}_id", {}
-    for p in sorted(providers):
+    for p in sorted(providers) if providers is not None else providers_of(long):
         own = long.filter(F.col("data_provider") == p).drop("data_provider")
         out[p] = own.withColumn(generic, id_text(F.col(generic))).withColumnRenamed(generic, f"{p}_{object_type}_id")
     return out

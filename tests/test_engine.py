@@ -171,3 +171,36 @@ def test_empty_provider(spark):
     empty = b.with_data(b.data.filter(F.lit(False)))
     assert crosswalk(MatchSyncEngine([a, empty]).synchronize(), "match", "ab") == [("1", None)]
     assert crosswalk(MatchSyncEngine([a.with_data(a.data.filter(F.lit(False))), b]).synchronize(), "match", "ab") == [(None, "2")]
+
+
+def _people(spark, p, rows, columns="player_id string, player_name string, team_id string"):
+    df = spark.createDataFrame(rows, columns).withColumnRenamed("player_id", f"{p}_player_id")
+    return Content.of("player", p, df)
+
+
+def test_fields_the_first_side_lacks_are_not_checked(spark):
+    """Without shirts and birth dates on the left, name and team are enough; what only the right side lacks is an error."""
+    a = _people(spark, "a", [("1", "Ann Leewood", "t"), ("2", "Bo Marsh", "t")])
+    b = _people(spark, "b", [("7", "Ann Leewood", "t", "5", None), ("8", "Marsh Bo", "t", "6", None)], "player_id string, player_name string, team_id string, jersey_number string, birth_date string")
+    layer = PlayerLayer("shirt and team", date_shift=None, equal=("jersey_number", "team_id"))
+    engine = PlayerSyncEngine([a, b])
+    assert [tuple(r) for r in engine.pairs_by_layer(a, b, layer).collect()] == [("1", "7")]
+    with pytest.raises(ContractError):
+        PlayerSyncEngine([b, a]).pairs_by_layer(b, a, layer)
+
+
+def test_matchers_need_a_value(spark):
+    a, b = _people(spark, "a", [("1", None, "t")]), _people(spark, "b", [("7", "Ann Leewood", "t")])
+    with pytest.raises(ContractError):
+        PlayerSyncEngine([a, b]).similar_pairs(a, b, ("player_name", "player_name"))
+
+
+def test_plan_grows_with_providers_only(spark):
+    """The rests of all providers come from the same rows: the size of the plan is linear in their number."""
+    sizes = []
+    for n in (2, 3, 4):
+        contents = [Content.of("match", f"p{k}", spark.createDataFrame([(f"m{k}", "2024-01-01", "h", "a")], f"p{k}_match_id string, match_date string, home_team_id string, away_team_id string")) for k in range(n)]
+        plan = MatchSyncEngine(contents).synchronize().data
+        assert plan.count() == 1
+        sizes.append(plan._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+    assert sizes[2] - sizes[1] <= 1.5 * (sizes[1] - sizes[0]) + 5

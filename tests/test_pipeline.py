@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from idsync.plans import pipeline
@@ -85,3 +86,29 @@ def test_metrics_recode_extract(spark):
     teams = spark.createDataFrame([("h", "T1"), (None, "T2")], "home string, home_team_id string")
     matches = spark.createDataFrame([("m1", "h"), ("m2", "g"), ("m3", None)], "m string, home string")
     assert rows(pipeline.extract(matches, [(teams, "home", "home_team_id")], ["m", "home_team_id"])) == [("m1", "T1")]
+
+
+def test_unnest_and_providers(spark, tmp_path):
+    from idsync.sources.frames import providers_of, read_json, split_by_provider, unnest
+
+    (tmp_path / "a.json").write_text('[{"id": 1, "kpis": [{"kpiId": 7, "player": {"id": "x"}}, {"kpiId": 8, "player": null}]}, {"id": 2, "kpis": []}]')
+    rows = unnest(read_json(spark, str(tmp_path / "a.json")), "kpis", {"kpi": "kpiId", "player": "player.id"}, ["id"])
+    assert sorted(map(tuple, rows.collect())) == [(1, 7, "x"), (1, 8, None)]
+    long = spark.createDataFrame([("b", "1.0"), ("a", "2"), (None, "3")], "data_provider string, provider_team_id string")
+    assert providers_of(long) == ["a", "b"] and list(split_by_provider(long, "team")) == ["a", "b"]
+    assert split_by_provider(long, "team")["b"].collect()[0].b_team_id == "1"
+
+
+def test_agreeing_and_back_join(spark):
+    from idsync.operators.similarity import agreeing, back_join
+
+    left = spark.createDataFrame([(1, "7", "t"), (2, None, "t")], "k long, shirt string, team string")
+    right = spark.createDataFrame([(8, "7", "t"), (9, None, "t")], "k long, shirt string, team string")
+    pairs = spark.createDataFrame([(1, 8), (2, 9)], "i long, j long")
+    assert [tuple(r) for r in agreeing(pairs, left, right, "k", ["shirt", "team"]).collect()] == [(1, 8)]
+    assert agreeing(pairs, left.drop("shirt"), right, "k", ["shirt", "team"]).count() == 2
+    with pytest.raises(ValueError):
+        agreeing(pairs, left, right.drop("shirt"), "k", ["shirt"])
+    names = lambda rows: spark.createDataFrame(rows, "b string, k long, name string")
+    texts = spark.createDataFrame([("m", "A", "a")], "b string, x string, y string")
+    assert sorted(map(tuple, back_join(texts, names([("m", 1, "A"), ("m", 2, "A"), ("n", 3, "A")]), names([("m", 8, "a"), ("m", 9, "a")]), ["b"], "k", "name").collect())) == [("m", 1, 8), ("m", 1, 9), ("m", 2, 8), ("m", 2, 9)]

@@ -36,7 +36,7 @@ def test_against_sql(spark, duck, name):
     assert plain(QUERIES[name](spark, SF).toPandas()) == plain(duck.execute(SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(n for n in set(QUERIES) - set(SQL) if not n.startswith("p") or n == "p6_found"))
+@pytest.mark.parametrize("name", sorted(n for n in set(QUERIES) - set(SQL) if not n.startswith("p") or n in ("p6_found", "player_sync")))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
