@@ -335,7 +335,8 @@ def link_variants(
     own = F.min("uid").over(Window.partitionBy(*node))
     units = cut(units.withColumns({"nid": own, "grams": _grams(F.col("tokens"), q), "nick_grams": _grams(F.col("nick"), q)}))
     sets = units.select(*blocks, "uid", "source", F.posexplode(F.when(F.col("grams") == F.col("nick_grams"), F.array("grams")).otherwise(F.array("grams", "nick_grams"))).alias("set", "grams")).filter(F.size("grams") > 0)
-    found = candidates(sets.withColumn("grams", rarest_first(sets)), blocks, overlap)
+    sets = cut(sets.withColumn("grams", rarest_first(sets)))  # ordered once; the table of frequencies stays out of all later plans
+    found = candidates(sets, blocks, overlap)
     keys = [m for m, c in zip(marks, evidence) if c in exact]
     if keys:
         found = found.unionByName(equal_marks(units, blocks, keys)).distinct()
